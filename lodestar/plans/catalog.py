@@ -17,6 +17,7 @@ from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import chunking as CH
 from ..operators import embedding as EM
+from ..operators import collection as CO
 from ..operators import knn as KNN
 from . import fixtures as FX
 from . import oracle as O
@@ -212,3 +213,388 @@ def q_knn_exact(spark, sf_dir):
     items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
     hits = KNN.knn_exact(queries, items, k=P.TOP_K, query_id="query_id", item_id="item_id")
     return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
+# ---------------------------------------------------------------------------
+# Metadata and validation
+# ---------------------------------------------------------------------------
+
+@register("enrich_metadata", """
+SELECT doc_id, source || '_' || CAST(doc_id AS VARCHAR) AS meta_title, source || '_' || CAST(doc_id AS VARCHAR) AS meta_filename,
+       lang AS meta_lang, CAST(4 AS BIGINT) AS n_keys
+FROM documents
+""")
+def q_enrich_metadata(spark, sf_dir):
+    from ..sources.corpus import enrich_metadata
+    docs = FX.table(spark, sf_dir, "documents")
+    raw = docs.select("doc_id", FX.unique_title().alias("title"),
+                      F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"),
+                                   F.lit("title"), F.concat(F.lit("pdf title "), F.col("doc_id").cast("string"))).alias("metadata"))
+    m = raw.withColumn("metadata", enrich_metadata("metadata", "title"))
+    return m.select("doc_id", F.col("metadata")["title"].alias("meta_title"),
+                    F.col("metadata")["filename"].alias("meta_filename"), F.col("metadata")["lang"].alias("meta_lang"),
+                    F.size("metadata").cast("bigint").alias("n_keys"))
+
+
+@register("default_metadata", f"""
+SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {O.UNIQUE_TITLE} END, 'Unknown') AS title,
+       coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END, 'Unknown') AS source,
+       CAST(len({O.words('text')}) AS BIGINT) AS token_length,
+       coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'hashed-bow-384' END, 'Unknown Model') AS embedding_model,
+       text AS document
+FROM documents
+""")
+def q_default_metadata(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents")
+    raw = docs.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 5 != 0, FX.unique_title()).alias("title"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source_file"),
+        TX.token_length("text").alias("token_length"),
+        F.when(F.col("doc_id") % 3 != 0, F.lit(EM.HASHED_MODEL_NAME)).alias("embedding_model"),
+        F.col("text").alias("chunk_content"))
+    rec = CO.default_metadata(raw)
+    return rec.select("doc_id", "metadata.title", "metadata.source", "metadata.token_length",
+                      "metadata.embedding_model", "document")
+
+
+@register("valid_embedding", """
+SELECT vec_id, CASE WHEN vec_id % 11 = 0 OR vec_id % 13 = 0 THEN 'skipped' ELSE 'valid' END AS status FROM embeddings
+""")
+def q_valid_embedding(spark, sf_dir):
+    emb = FX.table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 11 == 0, F.lit(None).cast("array<float>"))
+         .when(F.col("vec_id") % 13 == 0, F.array().cast("array<float>"))
+         .otherwise(F.col("embedding")).alias("embedding"))
+    ok, skipped = CO.valid_embedding(emb)
+    return ok.select("vec_id", F.lit("valid").alias("status")).unionByName(
+        skipped.select("vec_id", F.lit("skipped").alias("status")))
+
+
+# ---------------------------------------------------------------------------
+# Question parsing, redaction, validation
+# ---------------------------------------------------------------------------
+
+COMPOSED_SQL = """
+CASE item_id % 6 WHEN 0 THEN 'see document t3 please ' || text WHEN 1 THEN 'open FILE t3. ' || text
+     WHEN 2 THEN 'profile t3 x ' || text WHEN 3 THEN 'documents t3 ' || text WHEN 4 THEN 'no name ' || text
+     ELSE '  ' END"""
+
+
+def _name_sql(col: str) -> str:
+    ws = P.WS[1:-1]
+    return (f"CASE WHEN {O.strip(col)} = '' THEN NULL "
+            f"ELSE nullif(regexp_extract({col}, '(?i)(?:document|file)[{ws}]+([\\w.-]+)', 1), '') END")
+
+
+@register("extract_document_name", f"""
+SELECT item_id, {_name_sql('q')} AS name FROM (SELECT item_id, {COMPOSED_SQL} AS q FROM benchmark)
+""")
+def q_extract_document_name(spark, sf_dir):
+    b = FX.table(spark, sf_dir, "benchmark").select("item_id", FX.composed_question().alias("q"))
+    return b.select("item_id", TX.extract_document_name("q").alias("name"))
+
+
+@register("validate_query", f"""
+SELECT item_id, {O.strip('q')} AS query,
+       CASE WHEN {O.strip('q')} = '' THEN 'Query must be a non-empty string.' END AS error
+FROM (SELECT item_id, {COMPOSED_SQL} AS q FROM benchmark)
+""")
+def q_validate_query(spark, sf_dir):
+    from ..operators import retrieval as RT
+    b = FX.table(spark, sf_dir, "benchmark").select("item_id", FX.composed_question().alias("query"))
+    return RT.validate_query(b, "query")
+
+
+LEGAL_SQL = """
+CASE WHEN doc_id % 4 = 0 THEN 'see copyright notice ' || CAST(doc_id AS VARCHAR) || chr(10) || text
+     WHEN doc_id % 4 = 1 THEN 'x TERMS OF USE y' || chr(10) || text ELSE text END"""
+
+
+@register("redact_lines", f"""
+SELECT doc_id, {O.strip("regexp_replace(t, '(?i)(IPR|copyright|patents|trademarks|terms of use).*', '', 'g')")} AS text
+FROM (SELECT doc_id, {LEGAL_SQL} AS t FROM documents)
+""")
+def q_redact_lines(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").withColumn("text", FX.legal_text())
+    return docs.select("doc_id", TX.redact_lines("text").alias("text"))
+
+
+@register("redact_lines_custom", f"""
+SELECT doc_id, {O.strip("regexp_replace(text, '(?i)(Licensed|All rights reserved).*', '', 'g')")} AS text FROM documents
+""")
+def q_redact_lines_custom(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", TX.redact_lines("text", ("Licensed", "All rights reserved")).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Noise filter with fallback (retrieved rows = conversation turns per conversation)
+# ---------------------------------------------------------------------------
+
+NOISE_TEXT_SQL = """
+text || CASE turn % 3 WHEN 0 THEN ' Table 1' WHEN 1 THEN ' suitable' ELSE '' END
+     || CASE WHEN conv_id % 7 = 0 THEN ' list' ELSE '' END"""
+
+
+@register("noise_filter", f"""
+WITH r AS (SELECT conv_id, turn, {NOISE_TEXT_SQL} AS content FROM conversations),
+f AS (SELECT *, NOT (contains(lower(content), 'table') OR contains(lower(content), 'figure')
+                     OR contains(lower(content), 'list') OR contains(lower(content), 'appendix')) AS keep FROM r),
+g AS (SELECT *, bool_or(keep) OVER (PARTITION BY conv_id) AS any_keep FROM f)
+SELECT conv_id, turn FROM g WHERE keep OR NOT any_keep
+""")
+def q_noise_filter(spark, sf_dir):
+    from ..operators import retrieval as RT
+    conv = FX.table(spark, sf_dir, "conversations")
+    content = F.concat(F.col("text"),
+                       F.when(F.col("turn") % 3 == 0, F.lit(" Table 1")).when(F.col("turn") % 3 == 1, F.lit(" suitable")).otherwise(F.lit("")),
+                       F.when(F.col("conv_id") % 7 == 0, F.lit(" list")).otherwise(F.lit("")))
+    r = conv.select("conv_id", "turn", content.alias("content"))
+    return RT.noise_filter(r, group="conv_id", content="content").select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------------------
+# The collection (64/16-token chunks under shared titles t0..t39)
+# ---------------------------------------------------------------------------
+
+COLL_ORDER = ("year", "source", "chunk_index", "doc_id")
+
+
+def shared_chunks(spark, sf_dir) -> DataFrame:
+    ch = corpus_chunks(spark, sf_dir, size=64, overlap=16, shared=True)
+    return ch.withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
+
+
+def shared_collection(spark, sf_dir) -> DataFrame:
+    """First chunk per id wins, then embed (so duplicates are never embedded)."""
+    first = CO.first_per_key(shared_chunks(spark, sf_dir), "chunk_id", COLL_ORDER)
+    return CO.to_records(EM.embed_hashed(first, "chunk_content"))
+
+
+@register("rebuild_collection", f"""
+WITH {O.shared_collection_ctes()}
+SELECT chunk_id, doc_id, title, CAST(len({O.words('chunk_content')}) AS BIGINT) AS token_length,
+       'hashed-bow-384' AS embedding_model
+FROM coll
+""")
+def q_rebuild_collection(spark, sf_dir):
+    from ..session import scratch_path
+    path = scratch_path(spark, "collection")
+    recs = CO.to_records(EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content"))
+    CO.rebuild_collection(spark, path, recs, order=COLL_ORDER)
+    back = spark.read.parquet(path)
+    return back.select("chunk_id", "doc_id", "metadata.title", "metadata.token_length", "metadata.embedding_model")
+
+
+@register("insert_if_absent", f"""
+WITH {O.shared_collection_ctes()},
+ex AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY year, source, chunk_index, doc_id) AS rn
+  FROM cks WHERE doc_id % 2 = 0) WHERE rn = 1)
+SELECT chunk_id, doc_id, 'v0' AS embedding_model FROM ex
+UNION ALL
+SELECT chunk_id, doc_id, 'v1' AS embedding_model FROM coll WHERE chunk_id NOT IN (SELECT chunk_id FROM ex)
+""")
+def q_insert_if_absent(spark, sf_dir):
+    from ..session import scratch_path
+    path = scratch_path(spark, "collection")
+    emb = EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None)
+    existing = CO.to_records(emb.where(F.col("doc_id") % 2 == 0).withColumn("embedding_model", F.lit("v0")))
+    batch = CO.to_records(emb.withColumn("embedding_model", F.lit("v1")))
+    CO.rebuild_collection(spark, path, existing, order=COLL_ORDER)
+    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER)
+    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER)  # a replay adds nothing
+    back = spark.read.parquet(path)
+    return back.select("chunk_id", "doc_id", "metadata.embedding_model")
+
+
+@register("list_titles", f"""
+WITH {O.corpus_ctes(O.SHARED_TITLE)}
+SELECT DISTINCT coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE title END, 'Unknown') AS title FROM docs
+""")
+def q_list_titles(spark, sf_dir):
+    docs = FX.clean_corpus(spark, sf_dir, shared=True)
+    recs = CO.default_metadata(docs.withColumn("title", F.when(F.col("doc_id") % 5 != 0, F.col("title"))))
+    return CO.list_titles(recs)
+
+
+@register("get_by_title", f"""
+WITH {O.shared_collection_ctes()}
+SELECT chunk_id, chunk_content AS document FROM coll WHERE title = 't3'
+""")
+def q_get_by_title(spark, sf_dir):
+    return CO.get_by_title(shared_collection(spark, sf_dir), "t3", ("chunk_id", "document"))
+
+
+# ---------------------------------------------------------------------------
+# Title legs, hybrid merge, prompts (composed benchmark questions)
+# ---------------------------------------------------------------------------
+
+def composed_questions(spark, sf_dir) -> DataFrame:
+    from ..operators import retrieval as RT
+    b = FX.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                     FX.composed_question().alias("query"))
+    return RT.validate_query(b, "query").where(F.col("error").isNull()).drop("error")
+
+
+@register("title_exists", f"""
+WITH {O.shared_collection_ctes()}, {O.questions_ctes()}
+SELECT item_id AS query_id, name FROM names WHERE name IN (SELECT title FROM coll)
+""")
+def q_title_exists(spark, sf_dir):
+    from ..operators import retrieval as RT
+    names = RT.question_names(composed_questions(spark, sf_dir))
+    return RT.title_exists(names, shared_collection(spark, sf_dir)).select("query_id", "name")
+
+
+@register("title_missing", f"""
+WITH {O.shared_collection_ctes()}, {O.questions_ctes()}
+SELECT item_id AS query_id, name, 'Couldn''t find a file' AS message FROM names
+WHERE name IS NOT NULL AND name NOT IN (SELECT title FROM coll)
+""")
+def q_title_missing(spark, sf_dir):
+    from ..operators import retrieval as RT
+    names = RT.question_names(composed_questions(spark, sf_dir))
+    return RT.title_missing(names, shared_collection(spark, sf_dir)).select("query_id", "name", "message")
+
+
+@register("exact_title_leg", f"""
+WITH {O.shared_collection_ctes()}, {O.questions_ctes()}
+SELECT n.item_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY n.item_id ORDER BY c.chunk_index, c.chunk_id) AS BIGINT) AS leg_rank,
+       c.chunk_id, c.title AS source, 1.0 AS score, c.chunk_content AS content
+FROM names n JOIN coll c ON c.title = n.name
+""")
+def q_exact_title_leg(spark, sf_dir):
+    from ..operators import retrieval as RT
+    names = RT.question_names(composed_questions(spark, sf_dir))
+    leg = RT.exact_title_leg(names, shared_collection(spark, sf_dir))
+    return leg.select("query_id", "leg_rank", "chunk_id", "source", "score", "content")
+
+
+HYBRID_SQL = f"""
+WITH {O.shared_collection_ctes()}, {O.questions_ctes()},
+ex AS (SELECT n.item_id AS query_id, 0 AS leg,
+              row_number() OVER (PARTITION BY n.item_id ORDER BY c.chunk_index, c.chunk_id) AS leg_rank,
+              c.chunk_id, c.title AS source, 1.0 AS score, c.chunk_content AS content
+       FROM names n JOIN coll c ON c.title = n.name),
+{O.embed_ctes('q', 'qs', 'item_id', 'query')},
+{O.embed_ctes('c', 'coll', 'chunk_id', 'chunk_content')},
+{O.sparse_knn_ctes('q', 'c', 50)},
+vec AS (SELECT knn.qid AS query_id, 1 AS leg, knn.rank AS leg_rank, knn.cid AS chunk_id, coll.title AS source,
+               knn.d AS score, coll.chunk_content AS content
+        FROM knn JOIN coll ON coll.chunk_id = knn.cid),
+u AS (SELECT * FROM ex UNION ALL SELECT * FROM vec),
+hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg, leg_rank) AS rank FROM u)
+           WHERE rank <= 52)"""
+
+
+@register("hybrid_retrieve", HYBRID_SQL + f"""
+SELECT query_id, CAST(rank AS BIGINT) AS rank, leg, chunk_id, source, round(score, 6) AS score,
+       {O.legal_redact('content')} AS content
+FROM hybrid
+""")
+def q_hybrid_retrieve(spark, sf_dir):
+    from ..operators import retrieval as RT
+    out = RT.hybrid_retrieve(composed_questions(spark, sf_dir), shared_collection(spark, sf_dir))
+    return out.select("query_id", "rank", "leg", "chunk_id", "source", r6("score").alias("score"), "content")
+
+
+@register("assemble_prompt", HYBRID_SQL + f""",
+ctx AS (SELECT query_id, string_agg('Source: ' || source || chr(10) || {O.legal_redact('content')}, chr(10) ORDER BY rank) AS context
+        FROM hybrid GROUP BY query_id)
+SELECT qs.item_id AS query_id,
+       chr(10) || '    ### Instructions for LLM:' || chr(10) ||
+       '    - **Only answer based on the retrieved context.** ' || chr(10) ||
+       '    - **Do not mix Non-RT RIC and Near-RT RIC roles.**' || chr(10) ||
+       '    - **Exclude security considerations unless explicitly mentioned in the retrieved context.**' || chr(10) ||
+       chr(10) || '    ### Retrieved Context:' || chr(10) || '    ' || coalesce(ctx.context, '') || chr(10) ||
+       chr(10) || '    ### Query:' || chr(10) || '    ' || qs.query || chr(10) ||
+       chr(10) || '    ### Expected Output:' || chr(10) ||
+       '    Provide a structured and accurate response strictly from the context.' || chr(10) || '    ' AS prompt
+FROM qs LEFT JOIN ctx ON ctx.query_id = qs.item_id
+""")
+def q_assemble_prompt(spark, sf_dir):
+    from ..operators import prompt as PR
+    from ..operators import retrieval as RT
+    qs = composed_questions(spark, sf_dir)
+    hits = RT.hybrid_retrieve(qs, shared_collection(spark, sf_dir))
+    return PR.assemble_prompt(qs, hits, "structured")
+
+
+# ---------------------------------------------------------------------------
+# Evaluation over conversation pairs (user turn = reference,
+# next assistant turn = generated answer)
+# ---------------------------------------------------------------------------
+
+def conversation_pairs(spark, sf_dir) -> DataFrame:
+    from ..operators import evaluation as EV
+    conv = FX.table(spark, sf_dir, "conversations")
+    qs = conv.where(F.col("role") == "user").select("conv_id", F.col("turn"), F.col("text").alias("reference"))
+    ans = conv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                          F.col("text").alias("generated"))
+    return EV.pair_eval_set(qs, ans, keys=("conv_id", "turn"))
+
+
+PAIR_IDS = ["conv_id", "turn"]
+
+
+@register("pair_eval_set", f"""
+WITH {O.PAIRS} SELECT conv_id, turn, reference, generated FROM pairs
+""")
+def q_pair_eval_set(spark, sf_dir):
+    return conversation_pairs(spark, sf_dir).select("conv_id", "turn", "reference", "generated")
+
+
+@register("bleu4", f"""
+WITH {O.PAIRS}, {O.bleu_ctes()}
+SELECT conv_id, turn, round(bleu, 6) AS bleu FROM bleu
+""")
+def q_bleu4(spark, sf_dir):
+    from ..operators import evaluation as EV
+    b = EV.bleu4(conversation_pairs(spark, sf_dir), PAIR_IDS, "reference", "generated")
+    return b.select(*PAIR_IDS, r6("bleu").alias("bleu"))
+
+
+@register("rouge1_f", f"""
+WITH {O.PAIRS}, {O.rouge_ctes()}
+SELECT conv_id, turn, round(rouge1, 6) AS rouge1 FROM rouge
+""")
+def q_rouge1_f(spark, sf_dir):
+    from ..operators import evaluation as EV
+    r = EV.rouge1_f(conversation_pairs(spark, sf_dir), PAIR_IDS, "reference", "generated")
+    return r.select(*PAIR_IDS, r6("rouge1").alias("rouge1"))
+
+
+@register("cosine_mean", """
+WITH u AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
+         sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS u
+  FROM embeddings),
+d AS (SELECT label, i, avg(u[i]) AS m FROM (SELECT label, u, unnest(range(1, len(u) + 1)) AS i FROM u) GROUP BY label, i)
+SELECT CAST(label AS BIGINT) AS label, round(sum(m * m), 6) AS cosine_mean FROM d GROUP BY label
+""")
+def q_cosine_mean(spark, sf_dir):
+    from ..operators import evaluation as EV
+    emb = FX.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("bigint"))
+    cm = EV.cosine_mean(emb, emb, ["label"])
+    return cm.select("label", r6("cosine_mean").alias("cosine_mean"))
+
+
+PAIRS_ID = O.PAIRS + """,
+pid AS (SELECT *, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS pair_id FROM pairs)"""
+
+
+@register("semantic_similarity", f"""
+WITH {PAIRS_ID},
+{O.embed_ctes('g', 'pid', 'pair_id', 'generated')},
+{O.embed_ctes('r', 'pid', 'pair_id', 'reference')},
+{O.sparse_cosine('g', 'r', 'sim')}
+SELECT p.conv_id, p.turn, round(sim.cos, 6) AS semantic_similarity FROM pid p JOIN sim ON sim.id = p.pair_id
+""")
+def q_semantic_similarity(spark, sf_dir):
+    from ..operators import evaluation as EV
+    s = EV.semantic_similarity(conversation_pairs(spark, sf_dir), "generated", "reference")
+    return s.select(*PAIR_IDS, r6("semantic_similarity").alias("semantic_similarity"))
