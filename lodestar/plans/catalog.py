@@ -44,13 +44,13 @@ def r6(col) -> F.Column:
 # Shared Spark building blocks
 # ---------------------------------------------------------------------------
 
-def corpus_chunks(spark, sf_dir, size=P.CHUNK_SIZE, overlap=P.CHUNK_OVERLAP, shared=False) -> DataFrame:
-    docs = FX.clean_corpus(spark, sf_dir, shared)
+def corpus_chunks(spark, sf_dir, size=P.CHUNK_SIZE, overlap=P.CHUNK_OVERLAP, shared=False, noise=False) -> DataFrame:
+    docs = FX.clean_corpus(spark, sf_dir, shared, noise)
     return CH.chunk_tokens(docs, "text", size, overlap, keep=["doc_id", "title", "year", "source"])
 
 
-def embedded_chunks(spark, sf_dir) -> DataFrame:
-    chunks = corpus_chunks(spark, sf_dir).withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
+def embedded_chunks(spark, sf_dir, noise=False) -> DataFrame:
+    chunks = corpus_chunks(spark, sf_dir, noise=noise).withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
     return EM.embed_hashed(chunks, "chunk_content")
 
 
@@ -598,3 +598,233 @@ def q_semantic_similarity(spark, sf_dir):
     from ..operators import evaluation as EV
     s = EV.semantic_similarity(conversation_pairs(spark, sf_dir), "generated", "reference")
     return s.select(*PAIR_IDS, r6("semantic_similarity").alias("semantic_similarity"))
+
+
+# ---------------------------------------------------------------------------
+# Evaluation retrieval and the full evaluation
+# ---------------------------------------------------------------------------
+
+@register("retrieve_vector", f"""
+WITH {O.corpus_ctes(noise=True)},
+{O.chunk_ctes()},
+cks AS (SELECT title || '_chunk_' || CAST(chunk_index AS VARCHAR) AS chunk_id, chunk_content FROM chunks),
+{O.embed_ctes('c', 'cks', 'chunk_id', 'chunk_content')},
+{O.embed_ctes('q', 'benchmark', 'item_id', 'text')},
+{O.sparse_knn_ctes('q', 'c', 50)},
+hits AS (SELECT knn.qid, knn.cid, knn.rank, cks.chunk_content AS content FROM knn JOIN cks ON cks.chunk_id = knn.cid),
+{O.noise_filter_ctes('hits', 'qid', 'kept')}
+SELECT qid AS query_id, cid AS chunk_id, CAST(rank AS BIGINT) AS rank FROM kept
+""")
+def q_retrieve_vector(spark, sf_dir):
+    from ..operators import retrieval as RT
+    coll = CO.to_records(embedded_chunks(spark, sf_dir, noise=True))
+    out = RT.retrieve_vector(benchmark_queries(spark, sf_dir), coll, k=P.TOP_K)
+    return out.select("query_id", "chunk_id", F.col("leg_rank").alias("rank"))
+
+
+def _pairs_with_id(spark, sf_dir) -> DataFrame:
+    p = conversation_pairs(spark, sf_dir)
+    return p.withColumn("query_id", F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
+
+
+def _eval_retrieval(spark, sf_dir, pairs: DataFrame) -> DataFrame:
+    """Each pair's reference retrieves its 50 nearest chunks of the corpus (then the noise filter)."""
+    from ..operators import retrieval as RT
+    coll = CO.to_records(embedded_chunks(spark, sf_dir))
+    qv = EM.embed_hashed(pairs.select("query_id", "reference"), "reference", model_col=None)
+    return RT.retrieve_vector(qv, coll, k=P.TOP_K).withColumn("rank", F.col("leg_rank"))
+
+
+GROUNDING_SQL = f"""
+WITH {PAIRS_ID},
+{O.corpus_ctes()},
+{O.chunk_ctes()},
+cks AS (SELECT title || '_chunk_' || CAST(chunk_index AS VARCHAR) AS chunk_id, chunk_content FROM chunks),
+{O.embed_ctes('c', 'cks', 'chunk_id', 'chunk_content')},
+{O.embed_ctes('q', 'pid', 'pair_id', 'reference')},
+{O.sparse_knn_ctes('q', 'c', 50)},
+hits AS (SELECT knn.qid, knn.rank, cks.chunk_content AS content FROM knn JOIN cks ON cks.chunk_id = knn.cid),
+{O.noise_filter_ctes('hits', 'qid', 'kept')},
+ctx AS (SELECT p.pair_id, coalesce(string_agg(k.content, ' ' ORDER BY k.rank), '') AS ctx
+        FROM pid p LEFT JOIN kept k ON k.qid = p.pair_id GROUP BY p.pair_id),
+{O.embed_ctes('x', 'ctx', 'pair_id', 'ctx')},
+{O.embed_ctes('g', 'pid', 'pair_id', 'generated')},
+{O.embed_ctes('r', 'pid', 'pair_id', 'reference')},
+{O.sparse_cosine('g', 'x', 'kg')},
+{O.sparse_cosine('g', 'r', 'sim')},
+{O.bleu_ctes()},
+{O.rouge_ctes()},
+ev AS (
+  SELECT p.conv_id, p.turn,
+         coalesce('q' || CAST(l.quality AS VARCHAR) || '_t' || CAST(l.toxic AS VARCHAR), 'unlabeled') AS category,
+         b.bleu, r.rouge1, sim.cos AS semantic_similarity, kg.cos AS kg_score
+  FROM pid p
+  LEFT JOIN labels l ON l.doc_id = p.conv_id
+  JOIN bleu b ON b.conv_id = p.conv_id AND b.turn = p.turn
+  JOIN rouge r ON r.conv_id = p.conv_id AND r.turn = p.turn
+  JOIN sim ON sim.id = p.pair_id
+  JOIN kg ON kg.id = p.pair_id)"""
+
+
+@register("grounding_score", GROUNDING_SQL + """
+SELECT conv_id, turn, round(kg_score, 6) AS kg_score FROM ev
+""")
+def q_grounding_score(spark, sf_dir):
+    from ..operators import evaluation as EV
+    pairs = _pairs_with_id(spark, sf_dir)
+    g = EV.grounding_score(_eval_retrieval(spark, sf_dir, pairs), pairs, "query_id", "generated")
+    return g.select(*PAIR_IDS, r6("kg_score").alias("kg_score"))
+
+
+def evaluation_rows(spark, sf_dir) -> DataFrame:
+    from ..operators import evaluation as EV
+    pairs = _pairs_with_id(spark, sf_dir)
+    labels = FX.table(spark, sf_dir, "labels")
+    cat = F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("_t"), F.col("toxic").cast("string")),
+                     F.lit("unlabeled"))
+    pairs = pairs.join(labels.select(F.col("doc_id").alias("conv_id"), cat.alias("category")), "conv_id", "left") \
+        .withColumn("category", F.coalesce("category", F.lit("unlabeled")))
+    return EV.evaluate(pairs, _eval_retrieval(spark, sf_dir, pairs), PAIR_IDS, "query_id", "reference", "generated")
+
+
+METRICS = ("bleu", "rouge1", "semantic_similarity", "kg_score")
+
+
+@register("evaluate", GROUNDING_SQL + """
+SELECT conv_id, turn, category, round(bleu, 6) AS bleu, round(rouge1, 6) AS rouge1,
+       round(semantic_similarity, 6) AS semantic_similarity, round(kg_score, 6) AS kg_score FROM ev
+""")
+def q_evaluate(spark, sf_dir):
+    ev = evaluation_rows(spark, sf_dir)
+    return ev.select(*PAIR_IDS, "category", *[r6(m).alias(m) for m in METRICS])
+
+
+@register("summary_by_category", GROUNDING_SQL + """
+SELECT category, round(avg(bleu), 4) AS bleu, round(avg(rouge1), 4) AS rouge1,
+       round(avg(semantic_similarity), 4) AS semantic_similarity, round(avg(kg_score), 4) AS kg_score
+FROM ev GROUP BY category
+""")
+def q_summary_by_category(spark, sf_dir):
+    from ..operators import evaluation as EV
+    return EV.summary(evaluation_rows(spark, sf_dir), "category", METRICS)
+
+
+@register("eval_results_readback", GROUNDING_SQL + """
+SELECT conv_id, turn, category, round(bleu, 6) AS bleu, round(rouge1, 6) AS rouge1,
+       round(semantic_similarity, 6) AS semantic_similarity, round(kg_score, 6) AS kg_score FROM ev
+""")
+def q_eval_results_readback(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import corpus as SC
+    path = scratch_path(spark, "eval-results")
+    SC.write_results(evaluation_rows(spark, sf_dir).drop("query_id"), path)
+    back = spark.read.json(path)
+    return back.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "category",
+                       *[r6(m).alias(m) for m in METRICS])
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+
+@register("scan_corpus", f"""
+SELECT doc_id, CAST(2022 + doc_id % 3 AS INTEGER) AS year, {O.UNIQUE_TITLE} AS title FROM documents
+""")
+def q_scan_corpus(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import corpus as SC
+    path = scratch_path(spark, "corpus")
+    FX.corpus(spark, sf_dir).write.mode("overwrite").partitionBy("year").parquet(path)
+    # 2025 has no folder: it is skipped, as the reference skips a missing year
+    docs = SC.scan_corpus(spark, path, years=(2022, 2023, 2024, 2025))
+    return docs.select("doc_id", "year", "title")
+
+
+@register("route_format", r"""
+SELECT page_id, regexp_extract(name, '\.([^.]*)\z', 1) AS extension,
+       CASE WHEN suffix(name, '.html') THEN 'accepted' ELSE 'unsupported' END AS status
+FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*\z', ''), '([^/]*)\z', 1) AS name FROM pages)
+""")
+def q_route_format(spark, sf_dir):
+    from ..sources import corpus as SC
+    routed = SC.route_format(FX.table(spark, sf_dir, "pages"), "url", allowed=("html",), case_sensitive=True)
+    return routed.select("page_id", "extension", "status")
+
+
+@register("extract_text")
+def q_extract_text(spark, sf_dir):
+    """HTML pages through the extractor table (rows check: the parser is Python)."""
+    from ..sources import corpus as SC
+    pages = SC.route_format(FX.table(spark, sf_dir, "pages"), "url", allowed=("html",), case_sensitive=False)
+    pages = pages.withColumn("extension", F.when(F.col("status") == "accepted", F.lower("extension")))
+    out = SC.extract_text(pages.select("page_id", "extension", F.col("html").alias("content")))
+    return out.select("page_id", "status", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("assemble_parts", """
+SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id
+""")
+def q_assemble_parts(spark, sf_dir):
+    from ..sources import corpus as SC
+    return SC.assemble_parts(FX.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@register("write_documents_readback", f"""
+SELECT year, title, doc_id FROM (
+  SELECT CAST(2022 + doc_id % 3 AS INTEGER) AS year, {O.SHARED_TITLE} AS title, doc_id,
+         row_number() OVER (PARTITION BY 2022 + doc_id % 3, {O.SHARED_TITLE}
+                            ORDER BY {O.SHARED_TITLE} || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.docx' END DESC,
+                                     doc_id DESC) AS rn
+  FROM documents) WHERE rn = 1
+""")
+def q_write_documents_readback(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import corpus as SC
+    path = scratch_path(spark, "documents")
+    docs = FX.corpus(spark, sf_dir, shared=True).withColumn(
+        "file_name", F.concat(F.col("title"), F.when(F.col("doc_id") % 2 == 0, F.lit(".pdf")).otherwise(F.lit(".docx"))))
+    SC.write_documents(docs, path, name_col="file_name", tie="doc_id")
+    return spark.read.parquet(path).select("year", "title", "doc_id")
+
+
+@register("read_chunks", f"""
+WITH {O.corpus_ctes()},
+{O.chunk_ctes(64, 16)}
+SELECT title, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_content,
+       CAST(CASE WHEN n_chunks > 5 THEN floor(chunk_index / 2) + 1 ELSE 1 END AS BIGINT) AS part_num
+FROM chunks
+""")
+def q_read_chunks(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import corpus as SC
+    path = scratch_path(spark, "chunk-files")
+    SC.write_chunks(corpus_chunks(spark, sf_dir, size=64, overlap=16), path, max_chunks=5, part_size=2)
+    flat, _rejected = SC.read_chunks(spark, path)
+    return flat.select("title", F.col("chunk_index").cast("bigint"), "chunk_content", F.col("part_num").cast("bigint"))
+
+
+INGEST_SQL = r"""
+WITH r AS (
+  SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*\z', ''), '([^/]*)\z', 1) AS name, html FROM pages),
+t AS (SELECT page_id, suffix(name, '.html') AS ok,
+             regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
+                            '(?s)<[^>]*>', ' ', 'g') AS text FROM r),
+c AS (SELECT page_id, ok, text, len(regexp_extract_all(text, '{tok}')) AS n_tok FROM t)
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN NOT ok THEN 'unsupported' WHEN {strip} = '' THEN 'empty'
+              WHEN ceil(n_tok / 48.0) > 5 THEN 'split' ELSE 'processed' END AS status FROM c)
+GROUP BY status
+"""
+
+
+@register("ingest_report", INGEST_SQL.replace("{tok}", P.TOKEN_WS).replace("{strip}", O.strip("text")))
+def q_ingest_report(spark, sf_dir):
+    from ..sources import corpus as SC
+    pages = SC.route_format(FX.table(spark, sf_dir, "pages"), "url", allowed=("html",), case_sensitive=True)
+    text = SC.strip_html("html")
+    n_chunks = CH.chunk_count(F.size(CH.tokenize(text)), 64, 16)
+    status = (F.when(F.col("status") != "accepted", F.lit("unsupported"))
+              .when(TX.is_blank(text), F.lit("empty"))
+              .when(n_chunks > 5, F.lit("split"))
+              .otherwise(F.lit("processed")))
+    return SC.ingest_report(pages.select(status.alias("status")))

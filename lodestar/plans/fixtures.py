@@ -42,9 +42,18 @@ def corpus(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     return docs.select("doc_id", title.alias("title"), year_of("doc_id").alias("year"), "source", "text")
 
 
-def clean_corpus(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+def noise_suffix(id_col: str = "doc_id") -> Column:
+    """`` Table 1`` for ``id % 3 = 0``, `` suitable`` (contains "table") for 1, nothing for 2."""
+    m = F.col(id_col) % 3
+    return F.when(m == 0, F.lit(" Table 1")).when(m == 1, F.lit(" suitable")).otherwise(F.lit(""))
+
+
+def clean_corpus(spark: SparkSession, sf_dir: str, shared: bool = False, noise: bool = False) -> DataFrame:
     """Extraction output as the reference cleans it: dot runs removed, blank texts dropped."""
-    c = corpus(spark, sf_dir, shared).withColumn("text", TX.clean_text("text"))
+    c = corpus(spark, sf_dir, shared)
+    if noise:
+        c = c.withColumn("text", F.concat(F.col("text"), noise_suffix()))
+    c = c.withColumn("text", TX.clean_text("text"))
     return c.where(~TX.is_blank("text"))
 
 

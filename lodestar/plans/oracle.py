@@ -30,12 +30,16 @@ def clean(expr: str) -> str:
     return f"regexp_replace({expr}, '{DOT_RUN}', '', 'g')"
 
 
-def corpus_ctes(title: str = UNIQUE_TITLE) -> str:
-    """``docs`` (cleaned, non-blank corpus)."""
+NOISE_SUFFIX = "CASE doc_id % 3 WHEN 0 THEN ' Table 1' WHEN 1 THEN ' suitable' ELSE '' END"
+
+
+def corpus_ctes(title: str = UNIQUE_TITLE, noise: bool = False) -> str:
+    """``docs`` (cleaned, non-blank corpus); ``noise`` appends the noise-tag decoration."""
+    text = f"text || {NOISE_SUFFIX}" if noise else "text"
     return f"""
 docs_raw AS (
   SELECT doc_id, {title} AS title, CAST(2022 + doc_id % 3 AS INTEGER) AS year, source,
-         {clean('text')} AS text
+         {clean(text)} AS text
   FROM documents),
 docs AS (SELECT * FROM docs_raw WHERE {strip('text')} <> '')"""
 
@@ -71,10 +75,10 @@ def sparse_knn_ctes(q: str, c: str, k: int) -> str:
     return f"""
 dots AS (SELECT qv.id AS qid, cv.id AS cid, sum(CAST(qv.v AS DOUBLE) * CAST(cv.v AS DOUBLE)) AS dot
          FROM {q}_vec qv JOIN {c}_vec cv USING (bucket) GROUP BY ALL),
-pairs AS (SELECT qn.id AS qid, cn.id AS cid, greatest(qn.n2 + cn.n2 - 2 * coalesce(dots.dot, 0), 0) AS d
+knn_pairs AS (SELECT qn.id AS qid, cn.id AS cid, greatest(qn.n2 + cn.n2 - 2 * coalesce(dots.dot, 0), 0) AS d
           FROM {q}_n2 qn CROSS JOIN {c}_n2 cn LEFT JOIN dots ON dots.qid = qn.id AND dots.cid = cn.id),
 knn AS (SELECT * FROM (
-          SELECT qid, cid, d, row_number() OVER (PARTITION BY qid ORDER BY round(d, 10), cid) AS rank FROM pairs)
+          SELECT qid, cid, d, row_number() OVER (PARTITION BY qid ORDER BY round(d, 10), cid) AS rank FROM knn_pairs)
         WHERE rank <= {k})"""
 
 
@@ -174,3 +178,12 @@ def sparse_cosine(a: str, b: str, out: str) -> str:
               FROM {a}_vec x JOIN {b}_vec y ON x.id = y.id AND x.bucket = y.bucket GROUP BY x.id),
 {out} AS (SELECT na.id, CASE WHEN na.n2 > 0 AND nb.n2 > 0 THEN coalesce(d.dot, 0) / (sqrt(na.n2) * sqrt(nb.n2)) END AS cos
           FROM {a}_n2 na JOIN {b}_n2 nb ON na.id = nb.id LEFT JOIN {out}_dot d ON d.id = na.id)"""
+
+
+def noise_filter_ctes(src: str, group: str, out: str) -> str:
+    """``{out}``: rows of ``src`` without a noise tag, or all rows of a group that has only noise."""
+    tags = " OR ".join(f"contains(lower(content), '{t}')" for t in ("table", "figure", "list", "appendix"))
+    return f"""
+{out}_f AS (SELECT *, NOT ({tags}) AS keep FROM {src}),
+{out}_g AS (SELECT *, bool_or(keep) OVER (PARTITION BY {group}) AS any_keep FROM {out}_f),
+{out} AS (SELECT * EXCLUDE (keep, any_keep) FROM {out}_g WHERE keep OR NOT any_keep)"""
