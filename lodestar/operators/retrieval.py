@@ -12,7 +12,6 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as TX
@@ -142,49 +141,57 @@ def retrieve_vector(questions: DataFrame, collection: DataFrame, k: int = P.TOP_
 # Fuzzy title match: ratio = 1 - indel / (len a + len b) = 2 LCS / (len a + len b)
 # ---------------------------------------------------------------------------
 
-def _max_indel(lb: int, threshold: float) -> int:
-    """Largest indel distance any name may have to a title of length ``lb`` and still match."""
-    la_max = math.floor(lb * (1 + threshold) / (1 - threshold) + 1e-9) + 1
-    best = -1
-    for la in range(max(0, lb - la_max), la_max + 1):
-        d = math.ceil((1 - threshold) * (la + lb) - 1e-12) - 1
-        if d >= abs(la - lb):
+def max_indel(length: int, threshold: float) -> int:
+    """Largest indel distance a string of ``length`` can have to any partner and still match.
+
+    A match needs ``indel < e * (la + lb)`` with ``e = 1 - threshold``, and
+    ``indel >= |la - lb|``, so the partner length is below ``length * (1+e)/(1-e)``.
+    """
+    e = 1.0 - threshold
+    la_max = math.floor(length * (1 + e) / (1 - e)) + 1
+    best = 0
+    for la in range(0, la_max + 1):
+        d = math.ceil(e * (la + length) - 1e-12) - 1
+        if d >= abs(la - length):
             best = max(best, d)
-    return max(best, 0)
+    return best
 
 
-def _segments(lb: int, tau: int) -> list[tuple[int, int]]:
-    n = tau + 1
-    base, rem = divmod(lb, n)
-    out, start = [], 0
-    for i in range(n):
-        ln = base + (1 if i >= n - rem else 0)
-        out.append((start, ln))
-        start += ln
-    return out
+GRAM = 2
+PAD = "\u0001"
+OCC = "\u0002"
+
+
+def _tau_table(max_len: int, threshold: float) -> pd.DataFrame:
+    """``length -> tau`` for every length up to ``max_len``: bounded by the longest string."""
+    return pd.DataFrame({"len": list(range(0, max_len + 1)),
+                         "tau": [max_indel(n, threshold) for n in range(0, max_len + 1)]})
+
+
+def _tokens(col: Column) -> Column:
+    """Padded bigrams, each tagged with its occurrence number (multiset as a set)."""
+    padded = F.concat(F.lit(PAD), col, F.lit(PAD))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, GRAM))
+    return F.transform(grams, lambda g, i: F.concat(
+        g, F.lit(OCC), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
 
 
-def _plan_table(max_len: int, threshold: float) -> pd.DataFrame:
-    """For every title length: its tau and segment (start, length) list. Size bounded by max_len."""
-    rows = []
-    for lb in range(1, max_len + 1):
-        tau = _max_indel(lb, threshold)
-        for i, (s, ln) in enumerate(_segments(lb, tau)):
-            rows.append((lb, tau, i, s, ln))
-    return pd.DataFrame(rows, columns=["lb", "tau", "seg", "seg_start", "seg_len"])
+def _bit(n: Column) -> Column:
+    """``1 << n`` as BIGINT (shift amount is a column)."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, bit-parallel over ``b`` (``len b <= 62``)."""
     lb = F.length(b)
-    full = F.shiftleft(F.lit(1).cast("bigint"), lb) - 1
+    full = _bit(lb) - 1
     chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.substring(a, i, 1))
     chars = F.when(F.length(a) > 0, chars).otherwise(F.array().cast("array<string>"))
 
     def mask(ch):
         return F.aggregate(F.sequence(F.lit(0), F.greatest(lb - 1, F.lit(0))), F.lit(0).cast("bigint"),
                            lambda m, j: m.bitwiseOR(F.when(F.substring(b, j + 1, 1) == ch,
-                                                           F.shiftleft(F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint"))))
+                                                           _bit(j)).otherwise(F.lit(0).cast("bigint"))))
 
     def step(v, ch):
         u = v.bitwiseAND(mask(ch))
@@ -223,38 +230,42 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
                       name_id: str = "name_id", name_col: str = "name", title_col: str = "title") -> DataFrame:
     """Best stored title with ``ratio > threshold`` for every name (null when none).
 
-    Exact, without comparing every name with every title: a title of length ``lb``
-    is cut into ``tau+1`` segments (``tau`` = the largest indel distance a match can
-    have); a name within ``tau`` indels keeps one segment intact, shifted by at most
-    ``tau``.  Names emit their substrings at those positions and meet titles in an
-    equi-join on ``(lb, segment, text)``; only those candidates are verified by the
-    exact LCS ratio.  Comparison is on lower-cased text, the original title is
-    returned; a tie goes to the smaller title.
+    Exact, without comparing every name with every title (prefix filtering on
+    q-grams, Chaudhuri et al. 2006 / Xiao et al. 2008): one indel changes at most
+    two padded bigrams, so a match within ``tau`` indels shares at least
+    ``|grams| - 2 tau`` bigrams, and the ``2 tau + 1`` rarest bigrams of each side
+    must then meet.  Bigram frequencies come from the titles, so frequent bigrams
+    (a prefix every title shares) sort last and never form candidates.  Candidates
+    are verified with the exact LCS ratio; lower-cased text is compared, the
+    original title returned, a tie goes to the smaller title.
     """
     spark = names.sparkSession
-    t = title_df.select(F.col(title_col).alias("title")).where(F.col("title").isNotNull()).distinct() \
-        .withColumn("t_low", F.lower("title")).withColumn("lb", F.length("t_low"))
-    n = names.select(name_id, F.col(name_col).alias("name")).withColumn("n_low", F.lower(F.coalesce("name", F.lit("")))) \
-        .withColumn("la", F.length("n_low"))
-    max_len = t.agg(F.max("lb")).collect()[0][0] or 0
-    plan = spark.createDataFrame(_plan_table(int(max_len), threshold)) if max_len else None
-    if plan is None:
-        return n.select(name_id, "name", F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("ratio"))
-    plan = F.broadcast(plan)  # one row per (title length, segment): bounded by the longest title
-
-    t_seg = t.join(plan, "lb").select("title", "t_low", "lb", "seg",
-                                      F.substring("t_low", F.col("seg_start") + 1, F.col("seg_len")).alias("piece"))
-    # names: every title length a match could have, every segment, every allowed shift
-    lo = F.floor(F.col("la") * (1 - threshold) / (1 + threshold)).cast("int")
-    hi = F.ceil(F.col("la") * (1 + threshold) / (1 - threshold)).cast("int")
-    n_len = n.withColumn("lb", F.explode(F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1)))))
-    n_seg = n_len.join(plan, "lb")
-    start_lo = F.greatest(F.col("seg_start") - F.col("tau"), F.lit(0))
-    start_hi = F.least(F.col("seg_start") + F.col("tau"), F.col("la") - F.col("seg_len"))
-    n_pos = n_seg.where(start_hi >= start_lo).withColumn("pos", F.explode(F.sequence(start_lo, start_hi)))
-    n_piece = n_pos.select(name_id, "name", "n_low", "lb", "seg",
-                           F.substring("n_low", F.col("pos") + 1, F.col("seg_len")).alias("piece")).distinct()
-    cands = n_piece.join(t_seg, ["lb", "seg", "piece"]).select(name_id, "name", "n_low", "title", "t_low").distinct()
+    e = 1.0 - threshold
+    t = (title_df.select(F.col(title_col).alias("title")).where(F.col("title").isNotNull()).distinct()
+         .withColumn("low", F.lower("title")))
+    n = (names.select(name_id, F.col(name_col).alias("name"))
+         .withColumn("low", F.lower(F.coalesce("name", F.lit("")))))
+    max_len = max(t.agg(F.max(F.length("low"))).collect()[0][0] or 0,
+                  n.agg(F.max(F.length("low"))).collect()[0][0] or 0)
+    taus = F.broadcast(spark.createDataFrame(_tau_table(int(max_len), threshold)))  # one row per length
+
+    t_tok = t.withColumn("tok", F.explode(_tokens(F.col("low"))))
+    freq = t_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))  # partial aggregation, distinct bigrams only
+
+    def prefixes(df: DataFrame, key: list[str]) -> DataFrame:
+        toks = df.withColumn("tok", F.explode(_tokens(F.col("low")))).join(freq, "tok", "left") \
+            .withColumn("f", F.coalesce("f", F.lit(0)))
+        with_len = toks.withColumn("len", F.length("low")).join(taus, "len")
+        w = Window.partitionBy(*key).orderBy("f", "tok")
+        ranked = with_len.withColumn("_r", F.row_number().over(w))
+        return ranked.where(F.col("_r") <= GRAM * F.col("tau") + 1).select(*key, "low", "len", "tok")
+
+    tp = prefixes(t, ["title"])
+    np_ = prefixes(n, [name_id])
+    cands = (np_.alias("a").join(tp.alias("b"), "tok")
+             .where(F.abs(F.col("a.len") - F.col("b.len")) < F.lit(e) * (F.col("a.len") + F.col("b.len")))
+             .select(F.col(name_id), F.col("a.low").alias("n_low"), F.col("title"), F.col("b.low").alias("t_low"))
+             .distinct())
     scored = cands.withColumn("ratio", indel_ratio(F.col("n_low"), F.col("t_low"))).where(F.col("ratio") > threshold)
     best = scored.groupBy(name_id).agg(F.min_by(F.struct("title", "ratio"),
                                                 F.struct((-F.col("ratio")).alias("neg"), F.col("title"))).alias("b"))

@@ -828,3 +828,101 @@ def q_ingest_report(spark, sf_dir):
               .when(n_chunks > 5, F.lit("split"))
               .otherwise(F.lit("processed")))
     return SC.ingest_report(pages.select(status.alias("status")))
+
+
+# ---------------------------------------------------------------------------
+# Fuzzy title match and approximate kNN (rows checks + pytest against brute force)
+# ---------------------------------------------------------------------------
+
+def mutated_names(spark, sf_dir) -> DataFrame:
+    """Every title with one character changed, dropped or upper-cased (by ``doc_id % 3``), plus one unrelated name."""
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", FX.unique_title().alias("title"))
+    m = F.col("doc_id") % 3
+    t = F.col("title")
+    name = (F.when(m == 0, F.concat(F.expr("substring(title, 1, length(title) - 1)"), F.lit("x")))
+            .when(m == 1, F.concat(F.substring(t, 1, 1), F.expr("substring(title, 3)")))
+            .otherwise(F.upper(t)))
+    names = docs.select(F.col("doc_id").alias("name_id"), name.alias("name"))
+    unrelated = spark.createDataFrame([(-1, "completely unrelated name")], "name_id bigint, name string")
+    return names.unionByName(unrelated)
+
+
+@register("fuzzy_title_match")
+def q_fuzzy_title_match(spark, sf_dir):
+    from ..operators import retrieval as RT
+    titles = FX.table(spark, sf_dir, "documents").select(FX.unique_title().alias("title"))
+    out = RT.fuzzy_title_match(mutated_names(spark, sf_dir), titles)
+    return out.select("name_id", "name", "title", r6("ratio").alias("ratio"))
+
+
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    emb = FX.table(spark, sf_dir, "embeddings")
+    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
+    cents = KNN.train_cells(items, n_cells=16)
+    cells = KNN.assign_cells(items, cents)
+    queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = KNN.knn_approx(queries, cells, cents, k=P.TOP_K, nprobe=4, item_id="item_id")
+    return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
+# ---------------------------------------------------------------------------
+# Streams (each equals its batch twin)
+# ---------------------------------------------------------------------------
+
+def _prepare_shared(df: DataFrame) -> DataFrame:
+    docs = df.select("doc_id", FX.shared_title().alias("title"), FX.year_of("doc_id").alias("year"), "source",
+                     TX.clean_text("text").alias("text")).where(~TX.is_blank("text"))
+    ch = CH.chunk_tokens(docs, "text", 64, 16, keep=["doc_id", "title", "year", "source"])
+    ch = ch.withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
+    return CO.to_records(EM.embed_hashed(ch, "chunk_content"))
+
+
+@register("ingest_stream", ORACLE_SQL["rebuild_collection"])
+def q_ingest_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from .. import streaming as ST
+    schema = FX.table(spark, sf_dir, "documents").schema
+    stream = ST.file_stream(spark, sf_dir, schema, glob="documents.parquet")
+    path, ckpt = scratch_path(spark, "collection"), scratch_path(spark, "ckpt-ingest")
+    q = ST.ingest_stream(spark, stream, _prepare_shared, path, ckpt, order=COLL_ORDER)
+    q.awaitTermination()
+    back = spark.read.parquet(path)
+    return back.select("chunk_id", "doc_id", "metadata.title", "metadata.token_length", "metadata.embedding_model")
+
+
+@register("dedup_stream", """
+SELECT md5(text) AS text_key, min(doc_id) AS doc_id FROM documents GROUP BY md5(text)
+""")
+def q_dedup_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from .. import streaming as ST
+    schema = FX.table(spark, sf_dir, "documents").schema
+    stream = ST.file_stream(spark, sf_dir, schema, glob="documents.parquet").select(
+        "doc_id", F.md5("text").alias("text_key"))
+    target, ckpt = scratch_path(spark, "dedup"), scratch_path(spark, "ckpt-dedup")
+    ST.dedup_stream(spark, stream, "text_key", ["doc_id"], target, ckpt).awaitTermination()
+    return spark.read.parquet(target).select("text_key", "doc_id")
+
+
+@register("query_stream", ORACLE_SQL["assemble_prompt"])
+def q_query_stream(spark, sf_dir):
+    from ..operators import prompt as PR
+    from ..operators import retrieval as RT
+    from ..session import scratch_path
+    from .. import streaming as ST
+    coll_path = scratch_path(spark, "collection")
+    CO.rebuild_collection(spark, coll_path, shared_collection(spark, sf_dir), order=COLL_ORDER)
+    schema = FX.table(spark, sf_dir, "benchmark").schema
+    raw = ST.file_stream(spark, sf_dir, schema, glob="benchmark.parquet")
+    qs = raw.select(F.col("item_id").alias("query_id"), TX.py_strip(FX.composed_question()).alias("query")) \
+        .where(F.col("query") != "")
+
+    def answer(batch: DataFrame) -> DataFrame:
+        coll = spark.read.parquet(coll_path)
+        hits = RT.hybrid_retrieve(batch, coll)
+        return PR.assemble_prompt(batch, hits, "structured")
+
+    target, ckpt = scratch_path(spark, "prompts"), scratch_path(spark, "ckpt-questions")
+    ST.query_stream(spark, qs, answer, target, ckpt).awaitTermination()
+    return spark.read.parquet(target).select("query_id", "prompt")
