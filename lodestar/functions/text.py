@@ -31,7 +31,7 @@ def is_blank(col) -> Column:
 
 def words(col) -> Column:
     """Python ``str.split()`` with no argument: non-empty whitespace-separated words."""
-    return F.filter(F.split(_c(col), P.WS + "+"), lambda w: w != F.lit(""))
+    return F.filter(F.split(_c(col), P.WS_RUN), lambda w: w != F.lit(""))
 
 
 def token_length(col) -> Column:

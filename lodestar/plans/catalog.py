@@ -283,7 +283,7 @@ CASE item_id % 6 WHEN 0 THEN 'see document t3 please ' || text WHEN 1 THEN 'open
 
 
 def _name_sql(col: str) -> str:
-    ws = P.WS[1:-1]
+    ws = P.WS_RE2[1:-1]
     return (f"CASE WHEN {O.strip(col)} = '' THEN NULL "
             f"ELSE nullif(regexp_extract({col}, '(?i)(?:document|file)[{ws}]+([\\w.-]+)', 1), '') END")
 
@@ -817,7 +817,7 @@ GROUP BY status
 """
 
 
-@register("ingest_report", INGEST_SQL.replace("{tok}", P.TOKEN_WS).replace("{strip}", O.strip("text")))
+@register("ingest_report", INGEST_SQL.replace("{tok}", P.TOKEN_WS_RE2).replace("{strip}", O.strip("text")))
 def q_ingest_report(spark, sf_dir):
     from ..sources import corpus as SC
     pages = SC.route_format(FX.table(spark, sf_dir, "pages"), "url", allowed=("html",), case_sensitive=True)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -37,7 +38,7 @@ def shared_title(id_col: str = "doc_id") -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """documents as a corpus: ``doc_id, title, year, source, text`` (title unique unless ``shared``)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     title = shared_title() if shared else unique_title()
     return docs.select("doc_id", title.alias("title"), year_of("doc_id").alias("year"), "source", "text")
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 
-WS = P.WS
-STRIP = P.STRIP
-TOKEN_WS = P.TOKEN_WS
+WS = P.WS_RE2
+STRIP = P.STRIP_RE2
+TOKEN_WS = P.TOKEN_WS_RE2
 DOT_RUN = P.DOT_RUN
 
 UNIQUE_TITLE = "source || '_' || CAST(doc_id AS VARCHAR)"

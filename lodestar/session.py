@@ -15,9 +15,41 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lodestar`` importable on every executor (``addPyFile`` of a zip, once per context).
+
+    UDFs and ``mapInPandas`` functions refer to module-level helpers, which the
+    executors must import.  On a cluster this is what ``--py-files`` does.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestar_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="lodestar-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "lodestar"), "zip", os.path.dirname(pkg_dir), "lodestar")
+    sc.addPyFile(archive)
+    sc._lodestar_shipped = True
+
+
+def spread(df, factor: int = 2):
+    """Round-robin an under-partitioned input over the cluster, else leave it alone.
+
+    A file with one row group is read by one task however many splits it has.
+    Only when the scan has fewer partitions than ``factor x`` the default
+    parallelism is it repartitioned; a large input (many files and row groups)
+    keeps its scan partitioning and pays no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lodestar") -> SparkSession:
     """Session for tests and benchmarks on one machine; UI off, AQE on."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -31,6 +63,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -94,3 +94,14 @@ def test_chunk_properties(spark):
 def test_whitespace_class_matches_python():
     assert all(chr(c).isspace() for c in P.WS_CODES)
     assert 0x1C in P.WS_CODES and 0xA0 in P.WS_CODES
+
+
+def test_java_whitespace_equals_python_over_all_code_points(spark):
+    from lodestar.functions.patterns import WS, NOT_WS
+    rows = spark.range(0, 0x110000).where("id < 55296 OR id > 57343")  # no surrogates
+    ch = F.udf(lambda c: chr(c), "string")("id")  # test-only helper
+    flagged = rows.select("id", ch.alias("c")).select(
+        "id", F.col("c").rlike(f"(?U)^{WS}$").alias("ws"), F.col("c").rlike(f"(?U)^{NOT_WS}$").alias("nws"))
+    java = {r["id"] for r in flagged.where("ws").collect()}
+    assert java == {c for c in range(0x110000) if chr(c).isspace()}
+    assert flagged.where("ws = nws").count() == 0
