@@ -7,9 +7,6 @@ which Spark turns into a ``WindowGroupLimit`` on both sides of the exchange.
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,41 +138,6 @@ def retrieve_vector(questions: DataFrame, collection: DataFrame, k: int = P.TOP_
 # Fuzzy title match: ratio = 1 - indel / (len a + len b) = 2 LCS / (len a + len b)
 # ---------------------------------------------------------------------------
 
-def max_indel(length: int, threshold: float) -> int:
-    """Largest indel distance a string of ``length`` can have to any partner and still match.
-
-    A match needs ``indel < e * (la + lb)`` with ``e = 1 - threshold``, and
-    ``indel >= |la - lb|``, so the partner length is below ``length * (1+e)/(1-e)``.
-    """
-    e = 1.0 - threshold
-    la_max = math.floor(length * (1 + e) / (1 - e)) + 1
-    best = 0
-    for la in range(0, la_max + 1):
-        d = math.ceil(e * (la + length) - 1e-12) - 1
-        if d >= abs(la - length):
-            best = max(best, d)
-    return best
-
-
-GRAM = 2
-PAD = "\u0001"
-OCC = "\u0002"
-
-
-def _tau_table(max_len: int, threshold: float) -> pd.DataFrame:
-    """``length -> tau`` for every length up to ``max_len``: bounded by the longest string."""
-    return pd.DataFrame({"len": list(range(0, max_len + 1)),
-                         "tau": [max_indel(n, threshold) for n in range(0, max_len + 1)]})
-
-
-def _tokens(col: Column) -> Column:
-    """Padded bigrams, each tagged with its occurrence number (multiset as a set)."""
-    padded = F.concat(F.lit(PAD), col, F.lit(PAD))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, GRAM))
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit(OCC), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
-
-
 def _bit(n: Column) -> Column:
     """``1 << n`` as BIGINT (shift amount is a column)."""
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
@@ -228,46 +190,6 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float = P.FUZZY_THRESHOLD,
                       name_id: str = "name_id", name_col: str = "name", title_col: str = "title") -> DataFrame:
-    """Best stored title with ``ratio > threshold`` for every name (null when none).
-
-    Exact, without comparing every name with every title (prefix filtering on
-    q-grams, Chaudhuri et al. 2006 / Xiao et al. 2008): one indel changes at most
-    two padded bigrams, so a match within ``tau`` indels shares at least
-    ``|grams| - 2 tau`` bigrams, and the ``2 tau + 1`` rarest bigrams of each side
-    must then meet.  Bigram frequencies come from the titles, so frequent bigrams
-    (a prefix every title shares) sort last and never form candidates.  Candidates
-    are verified with the exact LCS ratio; lower-cased text is compared, the
-    original title returned, a tie goes to the smaller title.
-    """
-    spark = names.sparkSession
-    e = 1.0 - threshold
-    t = (title_df.select(F.col(title_col).alias("title")).where(F.col("title").isNotNull()).distinct()
-         .withColumn("low", F.lower("title")))
-    n = (names.select(name_id, F.col(name_col).alias("name"))
-         .withColumn("low", F.lower(F.coalesce("name", F.lit("")))))
-    max_len = max(t.agg(F.max(F.length("low"))).collect()[0][0] or 0,
-                  n.agg(F.max(F.length("low"))).collect()[0][0] or 0)
-    taus = F.broadcast(spark.createDataFrame(_tau_table(int(max_len), threshold)))  # one row per length
-
-    t_tok = t.withColumn("tok", F.explode(_tokens(F.col("low"))))
-    freq = t_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))  # partial aggregation, distinct bigrams only
-
-    def prefixes(df: DataFrame, key: list[str]) -> DataFrame:
-        toks = df.withColumn("tok", F.explode(_tokens(F.col("low")))).join(freq, "tok", "left") \
-            .withColumn("f", F.coalesce("f", F.lit(0)))
-        with_len = toks.withColumn("len", F.length("low")).join(taus, "len")
-        w = Window.partitionBy(*key).orderBy("f", "tok")
-        ranked = with_len.withColumn("_r", F.row_number().over(w))
-        return ranked.where(F.col("_r") <= GRAM * F.col("tau") + 1).select(*key, "low", "len", "tok")
-
-    tp = prefixes(t, ["title"])
-    np_ = prefixes(n, [name_id])
-    cands = (np_.alias("a").join(tp.alias("b"), "tok")
-             .where(F.abs(F.col("a.len") - F.col("b.len")) < F.lit(e) * (F.col("a.len") + F.col("b.len")))
-             .select(F.col(name_id), F.col("a.low").alias("n_low"), F.col("title"), F.col("b.low").alias("t_low"))
-             .distinct())
-    scored = cands.withColumn("ratio", indel_ratio(F.col("n_low"), F.col("t_low"))).where(F.col("ratio") > threshold)
-    best = scored.groupBy(name_id).agg(F.min_by(F.struct("title", "ratio"),
-                                                F.struct((-F.col("ratio")).alias("neg"), F.col("title"))).alias("b"))
-    return n.select(name_id, "name").join(best, name_id, "left").select(
-        name_id, "name", F.col("b.title").alias("title"), F.col("b.ratio").alias("ratio"))
+    """Best stored title with ``ratio > threshold`` per name (see ``operators.fuzzy``)."""
+    from .fuzzy import fuzzy_title_match as run
+    return run(names, title_df, threshold, name_id, name_col, title_col)
