@@ -55,13 +55,16 @@ def chunk_tokens(
     def window(i):
         start = i * F.lit(step)
         return F.struct(
+            n_chunks.alias("n_chunks"),
             i.alias("chunk_index"),
             F.array_join(F.slice("_tok", start + 1, F.lit(size)), "").alias("chunk_content"),
             F.least(F.lit(size), n - start).alias("chunk_tokens"),
         )
 
+    # Everything that reads the token array happens inside the generator, so the
+    # array is not carried into (copied to) every chunk row.
     chunks = F.when(n_chunks > 0, F.transform(F.sequence(F.lit(0), n_chunks - 1), window))
-    return staged.select(*keep, n_chunks.alias("n_chunks"), F.inline(chunks))
+    return staged.select(*keep, F.inline(chunks))
 
 
 def chunk_stats(chunks: DataFrame, key: str = "title", content_col: str = "chunk_content") -> DataFrame:

@@ -3,7 +3,7 @@
 The hashed embedder splits text into words (as ``str.split()``), sends each word
 to bucket ``int(md5(word)[:8], 16) % dim`` (JVM expressions), and counts the
 buckets into an L2-normalised dense vector.  Only the counting is vectorised
-NumPy over Arrow batches; there is no per-row or per-word Python.
+NumPy inside an Arrow UDF; there is no per-row or per-word Python.
 
 A caller's own model plugs in through :func:`embed_with`, an iterator Pandas UDF
 that loads the model once per task and embeds Arrow batches.
@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,31 +35,49 @@ def hashed_buckets(col, dim: int = HASH_DIM) -> Column:
     )
 
 
-def _dense_counts(buckets: pd.Series, dim: int) -> pd.Series:
-    lengths = buckets.map(len).to_numpy()
+def _bucket_counts(buckets: pa.Array, dim: int) -> np.ndarray:
+    """``(rows, dim)`` float64 counts from a list<int> Arrow array, without per-row Python."""
+    if isinstance(buckets, pa.ChunkedArray):
+        buckets = buckets.combine_chunks()
     n = len(buckets)
-    if n == 0:
-        return pd.Series([], dtype=object)
-    flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets]) if lengths.sum() else np.zeros(0, np.int64)
+    lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-    counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    return np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+
+
+def _as_list_array(mat: np.ndarray, value_type: pa.DataType) -> pa.Array:
+    n, dim = mat.shape
+    offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(mat.ravel(), type=value_type))
+
+
+def _normalised(counts: np.ndarray) -> np.ndarray:
     norms = np.sqrt((counts * counts).sum(axis=1))
     safe = np.where(norms > 0, norms, 1.0)
-    vecs = (counts / safe[:, None]).astype(np.float32)
-    return pd.Series(list(vecs))
+    return (counts / safe[:, None]).astype(np.float32)
 
 
-def _make_counter(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def dense_normalised(buckets: pd.Series) -> pd.Series:
-        return _dense_counts(buckets, dim)
+def hashed_counts(col, dim: int = HASH_DIM) -> Column:
+    """Unnormalised bucket counts (DOUBLE): counts of a space-joined text are the sum of its parts' counts."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def raw(buckets: pa.Array) -> pa.Array:
+        return _as_list_array(_bucket_counts(buckets, dim), pa.float64())
 
-    return dense_normalised
+    return raw(hashed_buckets(col, dim))
 
 
 def hashed_embedding(col, dim: int = HASH_DIM) -> Column:
-    """Dense, L2-normalised hashed bag-of-words vector (all zeros for empty text)."""
-    return _make_counter(dim)(hashed_buckets(col, dim))
+    """Dense, L2-normalised hashed bag-of-words vector (all zeros for empty text).
+
+    Bucketing runs in the JVM; counting and normalising are one vectorised NumPy
+    pass per Arrow batch (offsets and values are read without per-row Python).
+    """
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def dense_normalised(buckets: pa.Array) -> pa.Array:
+        return _as_list_array(_normalised(_bucket_counts(buckets, dim)), pa.float32())
+
+    return dense_normalised(hashed_buckets(col, dim))
 
 
 def embed_hashed(

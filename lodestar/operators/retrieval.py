@@ -85,13 +85,31 @@ def exact_title_leg(names: DataFrame, collection: DataFrame, limit: int | None =
                          "chunk_id", F.col("title").alias("source"), F.lit(1.0).alias("score"), "content")
 
 
+#: hit rows (questions x k) above which the payload join is left to the planner
+HIT_BROADCAST_ROWS = 5_000_000
+
+
 def vector_leg(questions: DataFrame, collection: DataFrame, k: int = P.TOP_K, qid: str = "query_id",
                qvec: str = "embedding") -> DataFrame:
+    """The ``k`` nearest chunks per question with their title and content.
+
+    Scoring reads only ``(chunk_id, embedding)``; the payload is attached after
+    the global top-k.  The hit list has at most ``questions x k`` rows, so when
+    that bound is under the limit it is broadcast and the collection is scanned,
+    not shuffled, for the payload.
+    """
     view = collection_view(collection)
-    hits = KNN.knn_exact(questions.select(qid, qvec), view, k=k, query_id=qid, query_vec=qvec,
-                         item_id="chunk_id", item_vec="embedding", carry=["title", "content"])
-    return hits.select(qid, F.lit(LEG_VECTOR).alias("leg"), F.col("rank").alias("leg_rank"), "chunk_id",
-                       F.col("title").alias("source"), F.col("distance").alias("score"), "content")
+    q = questions.select(qid, qvec)
+    hits = KNN.knn_exact(q, view.select("chunk_id", "embedding"), k=k, query_id=qid, query_vec=qvec,
+                         item_id="chunk_id", item_vec="embedding")
+    n_questions = q.count()
+    payload = view.select("chunk_id", "title", "content")
+    if n_questions * k <= HIT_BROADCAST_ROWS:
+        joined = payload.join(F.broadcast(hits), "chunk_id")
+    else:
+        joined = hits.join(payload, "chunk_id")
+    return joined.select(qid, F.lit(LEG_VECTOR).alias("leg"), F.col("rank").alias("leg_rank"), "chunk_id",
+                         F.col("title").alias("source"), F.col("distance").alias("score"), "content")
 
 
 def hybrid_retrieve(questions: DataFrame, collection: DataFrame, k: int = P.TOP_K, extra: int = P.MERGED_EXTRA,

@@ -400,7 +400,10 @@ SELECT chunk_id, doc_id, 'v1' AS embedding_model FROM coll WHERE chunk_id NOT IN
 def q_insert_if_absent(spark, sf_dir):
     from ..session import scratch_path
     path = scratch_path(spark, "collection")
-    emb = EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None)
+    # stage the embedded batch once (a written table cuts the lineage; three writes reuse it)
+    stage = scratch_path(spark, "embedded-batch")
+    EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None).write.parquet(stage)
+    emb = spark.read.parquet(stage)
     existing = CO.to_records(emb.where(F.col("doc_id") % 2 == 0).withColumn("embedding_model", F.lit("v0")))
     batch = CO.to_records(emb.withColumn("embedding_model", F.lit("v1")))
     CO.rebuild_collection(spark, path, existing, order=COLL_ORDER)
