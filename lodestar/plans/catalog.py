@@ -367,10 +367,23 @@ def shared_chunks(spark, sf_dir) -> DataFrame:
     return ch.withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
 
 
+def staged(spark, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back.
+
+    The collection is a stored table in real use; staging it here means the
+    legs that read it (scores, payload, titles) do not each re-embed the corpus,
+    and the written table cuts the lineage.
+    """
+    from ..session import scratch_path
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shared_collection(spark, sf_dir) -> DataFrame:
-    """First chunk per id wins, then embed (so duplicates are never embedded)."""
+    """First chunk per id wins, then embed (so duplicates are never embedded); staged."""
     first = CO.first_per_key(shared_chunks(spark, sf_dir), "chunk_id", COLL_ORDER)
-    return CO.to_records(EM.embed_hashed(first, "chunk_content"))
+    return staged(spark, CO.to_records(EM.embed_hashed(first, "chunk_content")), "collection")
 
 
 @register("rebuild_collection", f"""
@@ -620,7 +633,7 @@ SELECT qid AS query_id, cid AS chunk_id, CAST(rank AS BIGINT) AS rank FROM kept
 """)
 def q_retrieve_vector(spark, sf_dir):
     from ..operators import retrieval as RT
-    coll = CO.to_records(embedded_chunks(spark, sf_dir, noise=True))
+    coll = staged(spark, CO.to_records(embedded_chunks(spark, sf_dir, noise=True)), "collection")
     out = RT.retrieve_vector(benchmark_queries(spark, sf_dir), coll, k=P.TOP_K)
     return out.select("query_id", "chunk_id", F.col("leg_rank").alias("rank"))
 
@@ -633,7 +646,7 @@ def _pairs_with_id(spark, sf_dir) -> DataFrame:
 def _eval_retrieval(spark, sf_dir, pairs: DataFrame) -> DataFrame:
     """Each pair's reference retrieves its 50 nearest chunks of the corpus (then the noise filter)."""
     from ..operators import retrieval as RT
-    coll = CO.to_records(embedded_chunks(spark, sf_dir))
+    coll = staged(spark, CO.to_records(embedded_chunks(spark, sf_dir)), "collection")
     qv = EM.embed_hashed(pairs.select("query_id", "reference"), "reference", model_col=None)
     return RT.retrieve_vector(qv, coll, k=P.TOP_K).withColumn("rank", F.col("leg_rank"))
 
