@@ -584,6 +584,14 @@ def q_rouge1_f(spark, sf_dir):
     return r.select(*PAIR_IDS, r6("rouge1").alias("rouge1"))
 
 
+@register("rouge1_stemmed")
+def q_rouge1_stemmed(spark, sf_dir):
+    """ROUGE-1 with Porter stemming (rows check: the stemmer has no SQL twin)."""
+    from ..operators import evaluation as EV
+    r = EV.rouge1_f(conversation_pairs(spark, sf_dir), PAIR_IDS, "reference", "generated", stem=True)
+    return r.select(*PAIR_IDS, r6("rouge1").alias("rouge1"))
+
+
 @register("cosine_mean", """
 WITH u AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
