@@ -101,3 +101,21 @@ def test_hybrid_cut_and_exact_first(spark):
     first = out.where("rank = 1").collect()
     named = [r for r in first if r["leg"] == 0]
     assert named and all(r["score"] == 1.0 and r["source"] == "t3" for r in named)
+
+
+def test_blocked_paths_equal_broadcast_paths(spark):
+    from lodestar.operators import fuzzy as FZ
+    names = catalog.mutated_names(spark, SMALL)
+    titles = FX.table(spark, SMALL, "documents").select(FX.unique_title().alias("title"))
+    a = {(r["name_id"], r["title"]) for r in FZ.fuzzy_title_match(names, titles).collect()}
+    b = {(r["name_id"], r["title"]) for r in FZ.fuzzy_title_match(names, titles, broadcast_names=0).collect()}
+    assert a == b
+    items, x = _vectors(spark, n=300, clusters=6, seed=9)
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    cents = KNN.train_cells(items, n_cells=6)
+    cells = KNN.assign_cells(items, cents)
+    one = {(r["query_id"], r["item_id"], r["rank"]) for r in
+           KNN.knn_approx(queries, cells, cents, k=10, nprobe=2, item_id="item_id").collect()}
+    two = {(r["query_id"], r["item_id"], r["rank"]) for r in
+           KNN.knn_approx(queries, cells, cents, k=10, nprobe=2, item_id="item_id", broadcast_rows=0).collect()}
+    assert one == two
