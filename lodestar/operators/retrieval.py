@@ -61,11 +61,19 @@ def title_missing(names: DataFrame, collection: DataFrame) -> DataFrame:
     return miss.withColumn("message", F.lit(MISSING_TITLE_MESSAGE))
 
 
-def _pushdown_names(names: DataFrame, view: DataFrame) -> DataFrame:
+def _pushdown_names(names: DataFrame, collection: DataFrame) -> DataFrame:
+    """Filter the collection on the raw ``metadata.title`` so Parquet can skip row groups.
+
+    The distinct names are bounded by ``NAME_PUSHDOWN_LIMIT`` before they become
+    an IN list; above it the join alone does the work.
+    """
     distinct = [r[0] for r in names.select("name").distinct().limit(NAME_PUSHDOWN_LIMIT + 1).collect()]
-    if len(distinct) <= NAME_PUSHDOWN_LIMIT:
-        return view.where(F.col("title").isin(distinct))
-    return view
+    if len(distinct) > NAME_PUSHDOWN_LIMIT:
+        return collection
+    cond = F.col("metadata.title").isin(distinct)
+    if P.DEFAULT_TITLE in distinct:  # a missing title reads as the default
+        cond = cond | F.col("metadata.title").isNull()
+    return collection.where(cond)
 
 
 def exact_title_leg(names: DataFrame, collection: DataFrame, limit: int | None = None,
@@ -75,7 +83,7 @@ def exact_title_leg(names: DataFrame, collection: DataFrame, limit: int | None =
     ``limit`` keeps the first ``limit`` per question (the merged list never uses
     more), so a title with millions of chunks contributes ``limit`` rows per task.
     """
-    view = _pushdown_names(names, collection_view(collection))
+    view = collection_view(_pushdown_names(names, collection))
     joined = names.join(view.drop("embedding"), names["name"] == view["title"], "inner")
     order = [F.col("chunk_index"), F.col("chunk_id")] if "chunk_index" in view.columns else [F.col("chunk_id")]
     ranked = joined.withColumn("leg_rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order)))
