@@ -119,3 +119,15 @@ def test_blocked_paths_equal_broadcast_paths(spark):
     two = {(r["query_id"], r["item_id"], r["rank"]) for r in
            KNN.knn_approx(queries, cells, cents, k=10, nprobe=2, item_id="item_id", broadcast_rows=0).collect()}
     assert one == two
+
+
+def test_pruned_knn_equals_unpruned(spark):
+    items, x = _vectors(spark, n=400, seed=11)
+    items = items.repartition(6)
+    queries = items.select(F.col("item_id").alias("query_id"), "embedding")
+    plain = {(r["query_id"], r["item_id"], r["rank"]) for r in
+             KNN.knn_exact(queries, items, k=10, item_id="item_id", prune_min_candidates=None).collect()}
+    pruned = {(r["query_id"], r["item_id"], r["rank"]) for r in
+              KNN.knn_exact(queries, items, k=10, item_id="item_id", prune_min_candidates=0,
+                            prune_sample_rows=50).collect()}
+    assert plain == pruned
