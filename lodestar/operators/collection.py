@@ -21,6 +21,7 @@ from ..functions import patterns as P
 from ..functions.text import chunk_id as chunk_id_expr
 from ..functions.text import token_length
 
+#: bucket count is fixed when a collection is created; pick about (collection size / 1 GB)
 DEFAULT_BUCKETS = 64
 ORDER = ("year", "source", "chunk_index")
 
@@ -109,8 +110,10 @@ def rebuild_collection(spark: SparkSession, path: str, batch: DataFrame, key: st
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
-    # One task per bucket, rows sorted by title inside it.
-    out = df.repartition("bucket").sortWithinPartitions("metadata.title", "chunk_id")
+    # REBALANCE on the bucket keeps a bucket's rows together in few files, and AQE
+    # splits a large (or skewed) bucket into advisory-sized tasks instead of one
+    # task per bucket; rows are sorted by title inside each file.
+    out = df.hint("rebalance", "bucket").sortWithinPartitions("metadata.title", "chunk_id")
     out.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
