@@ -67,16 +67,20 @@ def to_records(embedded: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame
     return df.select(*keep).withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int"))
 
 
-def first_per_key(df: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ORDER) -> DataFrame:
+def first_per_key(df: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ORDER,
+                  also: tuple[str, ...] = ()) -> DataFrame:
     """One row per key, the smallest by ``order``.
 
     ``min_by`` is a partial aggregate: each map task already reduces a hot key to
     one row, so a key holding a third of all rows never lands whole in one task.
+    ``also`` names columns that are functions of the key (e.g. its bucket) to group
+    by as well, so a later join on ``also + key`` reuses this shuffle.
     """
     order = [c for c in order if c in df.columns] + [key]
-    cols = [c for c in df.columns if c != key]
+    group = list(also) + [key]
+    cols = [c for c in df.columns if c not in group]
     best = F.min_by(F.struct(*cols), F.struct(*order))
-    return df.groupBy(key).agg(best.alias("_r")).select(key, "_r.*")
+    return df.groupBy(*group).agg(best.alias("_r")).select(*group, "_r.*")
 
 
 def open_collection(spark: SparkSession, path: str) -> DataFrame | None:
@@ -94,7 +98,7 @@ def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str
     left unchanged (the reference's behaviour).  Replaying the
     same batch writes nothing, which makes a retried micro-batch harmless.
     """
-    batch = first_per_key(batch, key, order)
+    batch = first_per_key(batch, key, order, also=("bucket",))  # partitioned as the anti-join needs
     existing = open_collection(spark, path)
     if existing is not None:
         touched = batch.select("bucket").distinct()
