@@ -276,20 +276,8 @@ def q_valid_embedding(spark, sf_dir):
 # Question parsing, redaction, validation
 # ---------------------------------------------------------------------------
 
-COMPOSED_SQL = """
-CASE item_id % 6 WHEN 0 THEN 'see document t3 please ' || text WHEN 1 THEN 'open FILE t3. ' || text
-     WHEN 2 THEN 'profile t3 x ' || text WHEN 3 THEN 'documents t3 ' || text WHEN 4 THEN 'no name ' || text
-     ELSE '  ' END"""
-
-
-def _name_sql(col: str) -> str:
-    ws = P.WS_RE2[1:-1]
-    return (f"CASE WHEN {O.strip(col)} = '' THEN NULL "
-            f"ELSE nullif(regexp_extract({col}, '(?i)(?:document|file)[{ws}]+([\\w.-]+)', 1), '') END")
-
-
 @register("extract_document_name", f"""
-SELECT item_id, {_name_sql('q')} AS name FROM (SELECT item_id, {COMPOSED_SQL} AS q FROM benchmark)
+SELECT item_id, {O.title_name('q')} AS name FROM (SELECT item_id, {O.COMPOSED} AS q FROM benchmark)
 """)
 def q_extract_document_name(spark, sf_dir):
     b = FX.table(spark, sf_dir, "benchmark").select("item_id", FX.composed_question().alias("q"))
@@ -299,7 +287,7 @@ def q_extract_document_name(spark, sf_dir):
 @register("validate_query", f"""
 SELECT item_id, {O.strip('q')} AS query,
        CASE WHEN {O.strip('q')} = '' THEN 'Query must be a non-empty string.' END AS error
-FROM (SELECT item_id, {COMPOSED_SQL} AS q FROM benchmark)
+FROM (SELECT item_id, {O.COMPOSED} AS q FROM benchmark)
 """)
 def q_validate_query(spark, sf_dir):
     from ..operators import retrieval as RT
