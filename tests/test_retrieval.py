@@ -131,3 +131,22 @@ def test_pruned_knn_equals_unpruned(spark):
               KNN.knn_exact(queries, items, k=10, item_id="item_id", prune_min_candidates=0,
                             prune_sample_rows=50).collect()}
     assert plain == pruned
+
+
+def test_embedding_slot_and_hybrid_dedup(spark):
+    from lodestar.operators import embedding as EM
+
+    def load():
+        def encode(texts):
+            return np.array([[len(t), t.count(" ") + 1.0] for t in texts], dtype=np.float32)
+        return encode
+
+    df = spark.createDataFrame([(1, "a b c"), (2, "")], "id int, chunk_content string")
+    got = {r["id"]: r["embedding"] for r in EM.embed_with(df, load, model_name="toy").collect()}
+    assert got == {1: [5.0, 3.0], 2: [0.0, 1.0]}
+    coll = catalog.shared_collection(spark, SMALL)
+    qs = catalog.composed_questions(spark, SMALL)
+    kept = RT.hybrid_retrieve(qs, coll, dedup=True)
+    pairs = [(r["query_id"], r["chunk_id"]) for r in kept.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert kept.groupBy("query_id").count().agg(F.max("count")).collect()[0][0] <= 52

@@ -105,3 +105,12 @@ def test_java_whitespace_equals_python_over_all_code_points(spark):
     java = {r["id"] for r in flagged.where("ws").collect()}
     assert java == {c for c in range(0x110000) if chr(c).isspace()}
     assert flagged.where("ws = nws").count() == 0
+
+
+def test_gpt2_pre_tokens_lossless(spark):
+    texts = ["Hello, world! It's 2024.\n\n  Next   line\t", "don't stop'x", "ünïcödé 123abc ..."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["t"] for r in df.select("id", CH.tokenize("text", "gpt2_pre").alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert "".join(got[i]) == t
+    assert got[0][:4] == ["Hello", ",", " world", "!"]
