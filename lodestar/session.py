@@ -27,7 +27,16 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_lodestar_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = tempfile.mkdtemp(prefix="lodestar-pkg-")
+    root = checkpoint_root(spark)
+    if root.startswith("file:"):
+        root = root[len("file:"):]
+    # The zip goes to the shared scratch folder when that is a plain path; Spark's
+    # file server ships it to the executors either way.
+    if "://" in root:
+        out = tempfile.mkdtemp(prefix="lodestar-pkg-")
+    else:
+        out = os.path.join(root, f"lodestar-pkg-{uuid.uuid4().hex[:12]}")
+        os.makedirs(out, exist_ok=True)
     archive = shutil.make_archive(os.path.join(out, "lodestar"), "zip", os.path.dirname(pkg_dir), "lodestar")
     sc.addPyFile(archive)
     sc._lodestar_shipped = True
