@@ -116,8 +116,10 @@ def rebuild_collection(spark: SparkSession, path: str, batch: DataFrame, key: st
 def _write(df: DataFrame, path: str, mode: str) -> None:
     # REBALANCE on the bucket keeps a bucket's rows together in few files, and AQE
     # splits a large (or skewed) bucket into advisory-sized tasks instead of one
-    # task per bucket; rows are sorted by title inside each file.
-    out = df.hint("rebalance", "bucket").sortWithinPartitions("metadata.title", "chunk_id")
+    # task per bucket.  The sort starts with the partition column, which the
+    # partitioned writer requires (otherwise it re-sorts by bucket alone), so rows
+    # stay ordered by title inside each file.
+    out = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "metadata.title", "chunk_id")
     out.write.mode(mode).partitionBy("bucket").parquet(path)
 
 

@@ -45,3 +45,17 @@ def test_bleu_shuffles_pairs_once(spark):
     p = plan(catalog.QUERIES["bleu4"](spark, SMALL))
     # the pair join and one repartition of the pair texts; n-gram aggregates reuse it
     assert p.count("Exchange hashpartitioning") <= 4
+
+
+def test_collection_files_sorted_by_title(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "coll")
+    CO.rebuild_collection(spark, path, catalog.shared_collection(spark, SMALL), order=catalog.COLL_ORDER)
+    files = glob.glob(path + "/bucket=*/*.parquet")
+    assert files
+    for f in files:
+        titles = [m["title"] for m in pq.read_table(f, columns=["metadata"]).column("metadata").to_pylist()]
+        assert titles == sorted(titles)
