@@ -101,9 +101,14 @@ def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str
     batch = first_per_key(batch, key, order, also=("bucket",))  # partitioned as the anti-join needs
     existing = open_collection(spark, path)
     if existing is not None:
+        # Only the buckets the batch touches are read (dynamic partition pruning).
         touched = batch.select("bucket").distinct()
-        keys = existing.select("bucket", key).join(touched, "bucket", "left_semi")
-        batch = batch.join(keys, ["bucket", key], "left_anti")
+        stored = existing.select("bucket", key).join(touched, "bucket", "left_semi")
+        # Stored keys that the batch repeats: a semi-join whose right side (the
+        # batch's keys) AQE broadcasts when it is small, so a small upload never
+        # shuffles the collection's keys; the result is at most the batch's size.
+        present = stored.join(batch.select("bucket", key), ["bucket", key], "left_semi")
+        batch = batch.join(present, ["bucket", key], "left_anti")
     _write(batch, path, "append")
 
 
