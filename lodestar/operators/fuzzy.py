@@ -9,8 +9,9 @@ against all names with a bit-parallel LCS (Allison-Dix / Hyyro) vectorised in
 NumPy over a whole (names x titles) block of compatible lengths, and keeps only
 the best title per name.  No (name, title) pair is ever a row; the shuffle carries
 at most one row per name and task, and an aggregate per name picks the winner.
-Above the broadcast limit both sides are hashed into blocks and every block pair
-is scored by the same kernel in a cogrouped ``applyInPandas``.
+Above the broadcast limit both sides are hashed into blocks, keyed also by title
+length (a name joins only the lengths that can reach the threshold), and every
+block is scored by the same kernel in a cogrouped ``applyInPandas``.
 
 Ties go to the smaller title; lower-cased text is compared and the original title
 returned.  Strings of more than 62 characters on both sides of a pair use a plain
@@ -185,10 +186,18 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
         n_titles = t.count()
         qb = max(1, math.ceil(n_names / NAME_BLOCK_ROWS))
         cb = max(1, math.ceil(n_titles / TITLE_BLOCK_ROWS))
+        # Blocks are also keyed by title length: a name only meets titles whose
+        # length can reach the threshold (|la - lb| < e (la + lb)).
+        e = 1.0 - threshold
+        la = F.length("low")
+        lo = F.floor(la * (1 - e) / (1 + e)).cast("int")
+        hi = F.ceil(la * (1 + e) / (1 - e)).cast("int")
         nq = (n.withColumn("low", F.lower(F.coalesce("name", F.lit(""))))
+              .withColumn("_lb", F.explode(F.sequence(lo, hi)))
               .withColumn("_qb", F.pmod(F.xxhash64("name_id"), F.lit(qb)))
               .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-        tc = (t.withColumn("_cb", F.pmod(F.xxhash64("title"), F.lit(cb)))
+        tc = (t.withColumn("_lb", F.length("low"))
+              .withColumn("_cb", F.pmod(F.xxhash64("title"), F.lit(cb)))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
 
         def block(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,7 +206,8 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
             res = best.result()
             return res if len(res) else pd.DataFrame({c: pd.Series([], dtype=object) for c in RESULT.names})
 
-        partial = nq.groupBy("_qb", "_cb").cogroup(tc.groupBy("_qb", "_cb")).applyInPandas(block, RESULT)
+        keys = ["_lb", "_qb", "_cb"]
+        partial = nq.groupBy(*keys).cogroup(tc.groupBy(*keys)).applyInPandas(block, RESULT)
     best = partial.groupBy("name_id").agg(
         F.min_by(F.struct("title", "ratio"), F.struct((-F.col("ratio")).alias("neg"), F.col("title"))).alias("b"))
     return n.join(best, "name_id", "left").select(
