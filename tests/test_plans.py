@@ -59,3 +59,10 @@ def test_collection_files_sorted_by_title(spark, tmp_path):
     for f in files:
         titles = [m["title"] for m in pq.read_table(f, columns=["metadata"]).column("metadata").to_pylist()]
         assert titles == sorted(titles)
+
+
+def test_no_pairwise_joins_anywhere(spark):
+    for name in ("fuzzy_title_match", "hybrid_retrieve", "retrieve_benchmark", "knn_approx", "evaluate",
+                 "title_missing", "insert_if_absent", "cosine_mean"):
+        p = plan(catalog.QUERIES[name](spark, SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
