@@ -85,6 +85,15 @@ DEFAULT_MODEL = "Unknown Model"
 REFERENCE_MODEL_NAME = "all-MiniLM-L12-v2"
 #: allowed upload extensions (web path) and batch extensions
 UPLOAD_EXTENSIONS = ("pdf", "docx")
+#: chunk id and chunk file name
+CHUNK_ID_FORMAT = "%s_chunk_%d"
+CHUNK_FILE_SUFFIX = "_chunks.json"
+#: messages
+EMPTY_QUERY_ERROR = "Query must be a non-empty string."
+MISSING_TITLE_MESSAGE = "Couldn't find a file"
+INVALID_TYPE_PREFIX = "Invalid file type: ."
+#: one retrieved chunk in a prompt context: "Source: <title>" newline "<content>"
+SOURCE_LINE_PREFIX = "Source: "
 # ---------------------------------------------------------------------------
 
 # Java form of the title mention: (?i) case-insensitive, (?U) Unicode \w and \s.

@@ -65,14 +65,15 @@ def extension(col) -> Column:
 def derive_title(path_col) -> Column:
     """Title of a file: base name without the last extension, or without ``_chunks.json``."""
     name = base_name(path_col)
-    return F.when(name.endswith("_chunks.json"), F.regexp_replace(name, r"_chunks\.json\z", "")).otherwise(
+    suffix = P.CHUNK_FILE_SUFFIX
+    return F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(
         split_ext_root(name)
     )
 
 
 def chunk_id(title_col, index_col) -> Column:
     """``{title}_chunk_{index}``."""
-    return F.format_string("%s_chunk_%d", _c(title_col), _c(index_col))
+    return F.format_string(P.CHUNK_ID_FORMAT, _c(title_col), _c(index_col))
 
 
 def extract_document_name(query_col) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 # ---------------------------------------------------------------------------
 # The reference's prompt templates, character for character
 # (four-space indentation, a trailing space after two instruction lines).
@@ -104,7 +106,7 @@ def fill(template: str, context: Column | None, query: Column) -> Column:
 def context_lines(retrieved: DataFrame, variant: str = "structured", qid: str = "query_id") -> DataFrame:
     """``(query_id, context)``: lines in rank order joined by a newline."""
     if variant in WITH_SOURCE:
-        line = F.concat(F.lit("Source: "), F.coalesce(F.col("source"), F.lit("None")), F.lit("\n"),
+        line = F.concat(F.lit(P.SOURCE_LINE_PREFIX), F.coalesce(F.col("source"), F.lit("None")), F.lit("\n"),
                         F.coalesce(F.col("content"), F.lit("")))
     else:
         line = F.coalesce(F.col("content"), F.lit(""))

@@ -15,8 +15,8 @@ from ..functions import text as TX
 from . import embedding as EM
 from . import knn as KNN
 
-EMPTY_QUERY_ERROR = "Query must be a non-empty string."
-MISSING_TITLE_MESSAGE = "Couldn't find a file"
+EMPTY_QUERY_ERROR = P.EMPTY_QUERY_ERROR
+MISSING_TITLE_MESSAGE = P.MISSING_TITLE_MESSAGE
 #: distinct names pushed into the scan as an IN-list; above this, a plain join
 NAME_PUSHDOWN_LIMIT = 10_000
 
