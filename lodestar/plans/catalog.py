@@ -938,3 +938,14 @@ def q_query_stream(spark, sf_dir):
     target, ckpt = scratch_path(spark, "prompts"), scratch_path(spark, "ckpt-questions")
     ST.query_stream(spark, qs, answer, target, ckpt).awaitTermination()
     return spark.read.parquet(target).select("query_id", "prompt")
+
+
+@register("ingest_outcomes")
+def q_ingest_outcomes(spark, sf_dir):
+    """Every page routed, extracted by the HTML extractor, chunked (64/16, split above 5) and counted by outcome."""
+    from ..sources import corpus as SC
+    pages = SC.route_format(FX.table(spark, sf_dir, "pages"), "url", allowed=("html",), case_sensitive=True)
+    pages = pages.withColumn("extension", F.when(F.col("status") == "accepted", F.col("extension")))
+    extracted = SC.extract_text(pages.select("page_id", "extension", F.col("html").alias("content")))
+    outcomes = SC.ingest_outcomes(extracted, size=64, overlap=16, max_chunks=5)
+    return SC.ingest_report(outcomes, "outcome")
