@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import minhash, packing, substrings, token_counts
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -15,10 +15,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY),
                                      shared_path(spark, "token-counts"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op9_token_counts)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_minhash_near_dedup, op9_token_counts,
+                                   op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
