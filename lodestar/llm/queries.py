@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, substrings, token_counts
+from . import minhash, packing, quality, substrings, token_counts, toxicity
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -23,6 +23,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY),
                                      shared_path(spark, "token-counts"))
@@ -33,5 +37,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_minhash_near_dedup,
-                                   op9_token_counts, op10_substring_dedup)}
+                                   op7_toxicity, op9_token_counts, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql()}
