@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, substrings, token_counts, toxicity
+from . import minhash, packing, quality, substrings, token_counts, topk, toxicity
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -27,6 +28,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY),
                                      shared_path(spark, "token-counts"))
@@ -37,5 +42,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_minhash_near_dedup,
-                                   op7_toxicity, op9_token_counts, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql()}
+                                   op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql(), "op8_exact_top_k": topk.top_k_sql()}
