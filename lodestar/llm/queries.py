@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, substrings, token_counts, topk, toxicity
+from . import minhash, packing, quality, substrings, token_counts, topk, toxicity, word_table
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -24,6 +24,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_minhash_near_dedup,
-                                   op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
+                                   op6_word_table_bpe, op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql(), "op8_exact_top_k": topk.top_k_sql()}
