@@ -292,3 +292,12 @@ def _confirm(docs: DataFrame, classes: DataFrame, hoods: DataFrame, least: float
         ["doc_id", "component"])
     return (_block_pairs(full, "component", size, FULL_BLOCK).groupBy("component", "i", "j")
             .applyInPandas(lambda pdf: _forest_of_links(pdf, least, percent), "u long, v long"))
+
+
+def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows kept of ``docs``, every column: of each group of linked rows the one with the smallest id.
+
+    Rows with the same id share one fate; rows with a null id stay.
+    """
+    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__dropped"))
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped"], "left_anti")

@@ -14,7 +14,7 @@ loses more than ``LOST`` of its characters with the removed lines.
 Defined cases: null and empty texts have no words and fail the base; lines of
 white space are neither judged nor counted; a row that occurs twice is judged twice;
 an empty table gives no rows; other columns pass through ``clean_documents`` unchanged
-(helper columns live in one struct whose name no input column has).
+(the helper column's name is none of theirs).
 """
 
 from __future__ import annotations
@@ -92,41 +92,49 @@ def _characters(lines: Column) -> Column:
     return F.char_length(F.array_join(lines, ""))
 
 
-def judged(docs: DataFrame, name: str = "quality") -> DataFrame:
-    """``docs`` with one struct column: the base figures, ``kept`` and the cleaned text."""
-    text = text_column()
-    parts = docs.withColumn(name, F.struct(words(text).alias("words"), lines_with_words(text).alias("lines")))
-    q = F.col(name)
-    figures = parts.withColumn(name, F.struct(
-        F.size(q["words"]).cast("long").alias("n_words"),
-        F.char_length(F.array_join(q["words"], "")).cast("long").alias("word_chars"),
-        occurrences(text, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size(q["lines"]) - F.size(F.array_distinct(q["lines"]))).cast("long").alias("n_dup_lines"),
-        repeated_words(q["words"]).cast("long").alias("n_repeat_words"),
-        q["lines"].alias("lines"), F.filter(q["lines"], line_passes).alias("good")))
-    base_failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    remains = _characters(q["good"]) >= _characters(q["lines"]) * F.lit(1 - LOST)
-    return figures.withColumn(name, F.struct(
-        q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"],
-        q["n_repeat_words"], base_failed.alias("base_failed"), (~base_failed & remains).alias("kept"),
-        F.size(q["lines"]).cast("long").alias("n_lines"), F.size(q["good"]).cast("long").alias("n_good_lines"),
-        F.array_join(q["good"], "\n").alias("clean_text")))
+def verdict(text: Column) -> Column:
+    """One struct: the base figures, ``kept`` and the cleaned text.  Every part is evaluated once for a text."""
+    def figures(p: Column) -> Column:
+        return F.struct(
+            F.size(p["words"]).cast("long").alias("n_words"),
+            F.char_length(F.array_join(p["words"], "")).cast("long").alias("word_chars"),
+            (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
+            repeated_words(p["words"]).cast("long").alias("n_repeat_words"),
+            p["lines"].alias("lines"), F.filter(p["lines"], line_passes).alias("good"))
+
+    def judge(q: Column) -> Column:
+        base_failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+        remains = _characters(q["good"]) >= _characters(q["lines"]) * F.lit(1 - LOST)
+        return F.struct(
+            q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"),
+            occurrences(text, SYMBOLS).cast("long").alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
+            q["n_repeat_words"].alias("n_repeat_words"), base_failed.alias("base_failed"),
+            (~base_failed & remains).alias("kept"), F.size(q["lines"]).cast("long").alias("n_lines"),
+            F.size(q["good"]).cast("long").alias("n_good_lines"), F.array_join(q["good"], "\n").alias("clean_text"))
+
+    parts = F.struct(words(text).alias("words"), lines_with_words(text).alias("lines"))
+    return let(parts, lambda p: let(figures(p), judge))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: figures and verdict."""
-    return judged(docs.select("doc_id", "text")).select(
-        "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines",
-        "quality.n_repeat_words", "quality.base_failed", "quality.kept", "quality.n_lines", "quality.n_good_lines")
+    return docs.select("doc_id", verdict(text_column()).alias("q")).select(
+        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed",
+        "q.kept", "q.n_lines", "q.n_good_lines")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents, all columns, with failing lines gone from ``text``."""
+    """The kept documents, all columns, with failing lines gone from ``text``.
+
+    The verdict is an array of one struct or none that is exploded: a filter on it would be
+    pushed below the projection and the verdict computed twice.
+    """
     name = "quality"
     while name in docs.columns:
         name += "_"
-    names = docs.columns
-    return judged(docs, name).where(F.col(name)["kept"]).withColumn("text", F.col(name)["clean_text"]).select(*names)
+    kept = F.explode(F.filter(F.array(verdict(text_column())), lambda q: q["kept"]))
+    names = [F.col(f"`{c}`") if c != "text" else F.col(name)["clean_text"].alias("text") for c in docs.columns]
+    return docs.withColumn(name, kept).select(*names)
 
 
 def _sql_list(values) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, substrings, token_counts, topk, toxicity, word_table
+from . import licenses, minhash, packing, quality, repair, substrings, token_counts, topk, toxicity, word_table
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -20,10 +20,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY))
+
+
 def op6_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY))
 
@@ -45,6 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_minhash_near_dedup,
-                                   op6_word_table_bpe, op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_quality_rules, op3_license_scan, op4_minhash_near_dedup, op5_repair_token_ids,
+    op6_word_table_bpe, op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql(), "op8_exact_top_k": topk.top_k_sql()}
