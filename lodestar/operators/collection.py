@@ -13,9 +13,9 @@ token_length, embedding_model>, document STRING`` plus ``year`` and ``chunk_inde
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import patterns as P
 from ..functions.text import chunk_id as chunk_id_expr
@@ -83,39 +83,74 @@ def first_per_key(df: DataFrame, key: str = "chunk_id", order: tuple[str, ...] =
     return df.groupBy(*group).agg(best.alias("_r")).select(*group, "_r.*")
 
 
-def open_collection(spark: SparkSession, path: str) -> DataFrame | None:
+def open_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, None where nothing is stored; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+open_collection = open_table
+
+
+def _layout_path(path: str) -> str:
+    return path.rstrip("/") + ".layout"
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count that the collection was created with."""
+    layout = open_table(spark, _layout_path(path))
+    return None if layout is None else layout.first()["buckets"]
+
+
+def in_buckets(df: DataFrame, buckets: int, key: str = "chunk_id") -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
 def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id",
-                     order: tuple[str, ...] = ORDER) -> None:
+                     order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS) -> None:
     """Append the records whose key is not yet in the collection at ``path``.
 
+    The bucket of every record follows from the count stored with the collection, not
+    from the batch, so two batches can't place one key in two buckets; ``buckets`` is
+    used for a collection that does not exist yet.
+
     Repeated keys in the batch keep the first by ``order``; keys already stored are
     left unchanged (the reference's behaviour).  Replaying the
     same batch writes nothing, which makes a retried micro-batch harmless.
     """
-    batch = first_per_key(batch, key, order, also=("bucket",))  # partitioned as the anti-join needs
-    existing = open_collection(spark, path)
+    existing = open_table(spark, path)
+    stored = stored_buckets(spark, path)
+    if existing is not None and stored is None:
+        raise ValueError(f"{path} holds a collection without a stored bucket count")
+    if stored is None:
+        stored = buckets
+        _write_layout(spark, path, buckets)
+    batch = first_per_key(in_buckets(batch, stored, key), key, order, also=("bucket",))  # as the anti-join needs
     if existing is not None:
         # Only the buckets the batch touches are read (dynamic partition pruning).
         touched = batch.select("bucket").distinct()
-        stored = existing.select("bucket", key).join(touched, "bucket", "left_semi")
+        keys = existing.select("bucket", key).join(touched, "bucket", "left_semi")
         # Stored keys that the batch repeats: a semi-join whose right side (the
         # batch's keys) AQE broadcasts when it is small, so a small upload never
         # shuffles the collection's keys; the result is at most the batch's size.
-        present = stored.join(batch.select("bucket", key), ["bucket", key], "left_semi")
+        present = keys.join(batch.select("bucket", key), ["bucket", key], "left_semi")
         batch = batch.join(present, ["bucket", key], "left_anti")
     _write(batch, path, "append")
 
 
 def rebuild_collection(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id",
-                       order: tuple[str, ...] = ORDER) -> None:
-    """Clear the collection and load ``batch`` (first per key wins)."""
-    _write(first_per_key(batch, key, order), path, "overwrite")
+                       order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS) -> None:
+    """Clear the collection and load ``batch`` (first per key wins) in ``buckets`` buckets."""
+    _write_layout(spark, path, buckets)
+    _write(first_per_key(in_buckets(batch, buckets, key), key, order, also=("bucket",)), path, "overwrite")
+
+
+def _write_layout(spark: SparkSession, path: str, buckets: int) -> None:
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(_layout_path(path))
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:

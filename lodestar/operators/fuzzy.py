@@ -152,8 +152,7 @@ def _argbest(ratio: np.ndarray, titles: np.ndarray) -> np.ndarray:
     return best
 
 
-RESULT = T.StructType([T.StructField("name_id", T.LongType()), T.StructField("title", T.StringType()),
-                       T.StructField("ratio", T.DoubleType())])
+RESULT_COLUMNS = ["name_id", "title", "ratio"]
 
 
 def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float = P.FUZZY_THRESHOLD,
@@ -161,7 +160,9 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
                       broadcast_names: int = DEFAULT_BROADCAST_NAMES) -> DataFrame:
     """``(name_id, name, title, ratio)``: best stored title with ratio above the threshold, else null."""
     spark = names.sparkSession
-    n = names.select(F.col(name_id).cast("long").alias("name_id"), F.col(name_col).alias("name"))
+    n = names.select(F.col(name_id).alias("name_id"), F.col(name_col).alias("name"))
+    result = T.StructType([T.StructField("name_id", n.schema["name_id"].dataType), T.StructField("title", T.StringType()),
+                           T.StructField("ratio", T.DoubleType())])
     # Scoring costs CPU per title, not bytes: spread the distinct titles over the
     # cluster explicitly (AQE would coalesce a small title set into one task).
     t = (title_df.select(F.col(title_col).alias("title")).where(F.col("title").isNotNull()).distinct()
@@ -180,7 +181,7 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
             if len(res):
                 yield res
 
-        partial = t.mapInPandas(score, RESULT)
+        partial = t.mapInPandas(score, result)
     else:
         n_names = n.count()
         n_titles = t.count()
@@ -204,10 +205,10 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
             best = _Best(qpdf["name_id"].to_numpy(), qpdf["low"].tolist(), threshold)
             best.add(tpdf["title"].tolist(), tpdf["low"].tolist())
             res = best.result()
-            return res if len(res) else pd.DataFrame({c: pd.Series([], dtype=object) for c in RESULT.names})
+            return res if len(res) else pd.DataFrame({c: pd.Series([], dtype=object) for c in RESULT_COLUMNS})
 
         keys = ["_lb", "_qb", "_cb"]
-        partial = nq.groupBy(*keys).cogroup(tc.groupBy(*keys)).applyInPandas(block, RESULT)
+        partial = nq.groupBy(*keys).cogroup(tc.groupBy(*keys)).applyInPandas(block, result)
     best = partial.groupBy("name_id").agg(
         F.min_by(F.struct("title", "ratio"), F.struct((-F.col("ratio")).alias("neg"), F.col("title"))).alias("b"))
     return n.join(best, "name_id", "left").select(

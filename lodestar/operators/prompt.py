@@ -115,11 +115,33 @@ def context_lines(retrieved: DataFrame, variant: str = "structured", qid: str =
 
 
 def assemble_prompt(questions: DataFrame, retrieved: DataFrame, variant: str = "structured",
-                    qid: str = "query_id", query_col: str = "query") -> DataFrame:
-    """``(query_id, prompt)`` for every question; a question with nothing retrieved gets an empty context."""
-    template = TEMPLATES[variant]
-    if variant == "generic":
+                    qid: str = "query_id", query_col: str = "query", template: str | None = None) -> DataFrame:
+    """``(query_id, prompt)`` for every question; a question with nothing retrieved gets an empty context.
+
+    ``template`` replaces the variant's text (with other rules for a domain, say); the variant still
+    decides how context lines look.  A template without ``{context}`` needs no retrieval.
+    """
+    template = TEMPLATES[variant] if template is None else template
+    if "{context}" not in template:
         return questions.select(qid, fill(template, None, F.col(query_col)).alias("prompt"))
     ctx = context_lines(retrieved, variant, qid)
     joined = questions.select(qid, query_col).join(ctx, qid, "left")
     return joined.select(qid, fill(template, F.coalesce(F.col("context"), F.lit("")), F.col(query_col)).alias("prompt"))
+
+
+def answers(rag_prompts: DataFrame, generic_prompts: DataFrame, answerer, qid: str = "query_id") -> DataFrame:
+    """``query_id, rag_answer, generic_answer``: both prompts of every question through ``answerer``.
+
+    ``answerer`` takes a list of prompts and returns as many texts; it is called once per Arrow batch inside the
+    tasks, so a model is loaded where it runs.  A question without a prompt has a null answer.
+    """
+    def ask(batches):
+        for b in batches:
+            yield b.assign(answer=list(answerer(b["prompt"].tolist())))
+
+    both = rag_prompts.select(qid, "prompt", F.lit("rag").alias("kind")).unionByName(
+        generic_prompts.select(qid, "prompt", F.lit("generic").alias("kind")))
+    fields = [f"`{qid}` {both.schema[qid].dataType.simpleString()}", "prompt string", "kind string", "answer string"]
+    got = both.where(F.col("prompt").isNotNull()).mapInPandas(ask, ", ".join(fields))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("answer"))).alias(f"{kind}_answer")
+    return got.groupBy(qid).agg(pick("rag"), pick("generic"))

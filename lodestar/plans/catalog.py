@@ -277,22 +277,23 @@ def q_valid_embedding(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 @register("extract_document_name", f"""
-SELECT item_id, {O.title_name('q')} AS name FROM (SELECT item_id, {O.COMPOSED} AS q FROM benchmark)
+SELECT item_id, {O.title_name('q')} AS name FROM {O.QUESTIONS}
 """)
 def q_extract_document_name(spark, sf_dir):
     b = FX.table(spark, sf_dir, "benchmark").select("item_id", FX.composed_question().alias("q"))
+    b = FX.with_blank_questions(b, "item_id", "q")
     return b.select("item_id", TX.extract_document_name("q").alias("name"))
 
 
 @register("validate_query", f"""
 SELECT item_id, {O.strip('q')} AS query,
        CASE WHEN {O.strip('q')} = '' THEN 'Query must be a non-empty string.' END AS error
-FROM (SELECT item_id, {O.COMPOSED} AS q FROM benchmark)
+FROM {O.QUESTIONS}
 """)
 def q_validate_query(spark, sf_dir):
     from ..operators import retrieval as RT
     b = FX.table(spark, sf_dir, "benchmark").select("item_id", FX.composed_question().alias("query"))
-    return RT.validate_query(b, "query")
+    return RT.validate_query(FX.with_blank_questions(b, "item_id", "query"), "query")
 
 
 LEGAL_SQL = """
@@ -344,7 +345,7 @@ def q_noise_filter(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# The collection (64/16-token chunks under shared titles t0..t39)
+# The collection (64/16-token chunks under titles that three documents share)
 # ---------------------------------------------------------------------------
 
 COLL_ORDER = ("year", "source", "chunk_index", "doc_id")
@@ -440,6 +441,7 @@ def composed_questions(spark, sf_dir) -> DataFrame:
     from ..operators import retrieval as RT
     b = FX.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
                                                      FX.composed_question().alias("query"))
+    b = FX.with_blank_questions(b, "query_id", "query")
     return RT.validate_query(b, "query").where(F.col("error").isNull()).drop("error")
 
 
@@ -696,7 +698,8 @@ def evaluation_rows(spark, sf_dir) -> DataFrame:
                      F.lit("unlabeled"))
     pairs = pairs.join(labels.select(F.col("doc_id").alias("conv_id"), cat.alias("category")), "conv_id", "left") \
         .withColumn("category", F.coalesce("category", F.lit("unlabeled")))
-    return EV.evaluate(pairs, _eval_retrieval(spark, sf_dir, pairs), PAIR_IDS, "query_id", "reference", "generated")
+    return EV.evaluate(pairs, _eval_retrieval(spark, sf_dir, pairs), PAIR_IDS, "query_id", "reference", "generated",
+                       stem=False)  # the SQL twin has no stemmer
 
 
 METRICS = ("bleu", "rouge1", "semantic_similarity", "kg_score")

@@ -32,8 +32,8 @@ def unique_title(source_col: str = "source", id_col: str = "doc_id") -> Column:
 
 
 def shared_title(id_col: str = "doc_id") -> Column:
-    """Titles that repeat across documents and years: ``t0`` .. ``t39``."""
-    return F.concat(F.lit("t"), (F.col(id_col) % 40).cast("string"))
+    """Titles that three neighbouring documents of three years share; their number grows with the corpus."""
+    return F.concat(F.lit("t"), F.floor(F.col(id_col) / 3).cast("string"))
 
 
 def corpus(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
@@ -76,12 +76,17 @@ def legal_text(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def composed_question(id_col: str = "item_id", text_col: str = "text") -> Column:
-    """Benchmark item as a question naming a document, by ``item_id % 6``."""
+    """Benchmark item as a question, by ``item_id % 6`` naming a document or none; every item keeps its text."""
     m = F.col(id_col) % 6
     t = F.col(text_col)
     return (F.when(m == 0, F.concat(F.lit("see document t3 please "), t))
             .when(m == 1, F.concat(F.lit("open FILE t3. "), t))
             .when(m == 2, F.concat(F.lit("profile t3 x "), t))
             .when(m == 3, F.concat(F.lit("documents t3 "), t))
-            .when(m == 4, F.concat(F.lit("no name "), t))
-            .otherwise(F.lit("  ")))
+            .otherwise(F.concat(F.lit("no name "), t)))
+
+
+def with_blank_questions(questions: DataFrame, id_col: str, query_col: str) -> DataFrame:
+    """``questions`` and, for every sixth of them, one more row of blanks (id ``-1 - id``)."""
+    blank = questions.where(F.col(id_col) % 6 == 5).select((-1 - F.col(id_col)).alias(id_col), F.lit("  ").alias(query_col))
+    return questions.select(id_col, query_col).unionByName(blank)

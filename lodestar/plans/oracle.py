@@ -15,7 +15,7 @@ TOKEN_WS = P.TOKEN_WS_RE2
 DOT_RUN = P.DOT_RUN
 
 UNIQUE_TITLE = "source || '_' || CAST(doc_id AS VARCHAR)"
-SHARED_TITLE = "'t' || CAST(doc_id % 40 AS VARCHAR)"
+SHARED_TITLE = "'t' || CAST(doc_id // 3 AS VARCHAR)"
 
 
 def words(expr: str) -> str:
@@ -99,8 +99,11 @@ def title_name(expr: str) -> str:
 
 
 COMPOSED = """CASE item_id % 6 WHEN 0 THEN 'see document t3 please ' || text WHEN 1 THEN 'open FILE t3. ' || text
-     WHEN 2 THEN 'profile t3 x ' || text WHEN 3 THEN 'documents t3 ' || text WHEN 4 THEN 'no name ' || text
-     ELSE '  ' END"""
+     WHEN 2 THEN 'profile t3 x ' || text WHEN 3 THEN 'documents t3 ' || text ELSE 'no name ' || text END"""
+
+#: composed questions and, for every sixth, one more row of blanks
+QUESTIONS = f"""(SELECT item_id, {COMPOSED} AS q FROM benchmark
+       UNION ALL SELECT -1 - item_id AS item_id, '  ' AS q FROM benchmark WHERE item_id % 6 = 5)"""
 
 
 def shared_collection_ctes() -> str:
@@ -115,7 +118,7 @@ coll AS (SELECT * EXCLUDE (rn) FROM (
 
 def questions_ctes() -> str:
     """``qs(item_id, query)``: composed benchmark questions, stripped, blank ones rejected."""
-    return f"""qs AS (SELECT item_id, {strip('q')} AS query FROM (SELECT item_id, {COMPOSED} AS q FROM benchmark)
+    return f"""qs AS (SELECT item_id, {strip('q')} AS query FROM {QUESTIONS}
        WHERE {strip('q')} <> ''),
 names AS (SELECT item_id, {title_name('query')} AS name FROM qs)"""
 

@@ -21,7 +21,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import collection as CO
 
@@ -60,11 +59,9 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, prepare: Callable[[Dat
 def append_new_keys(spark: SparkSession, path: str, batch: DataFrame, key: str, order: list[str]) -> None:
     """Append the first row of every key not yet stored at ``path`` (replay-safe)."""
     first = CO.first_per_key(batch, key, tuple(order))
-    try:
-        stored = spark.read.parquet(path).select(key)
-        first = first.join(stored, key, "left_anti")
-    except AnalysisException:
-        pass
+    stored = CO.open_table(spark, path)  # only a missing folder is empty; any other fault stops the batch
+    if stored is not None:
+        first = first.join(stored.select(key), key, "left_anti")
     first.write.mode("append").parquet(path)
 
 

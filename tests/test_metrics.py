@@ -59,7 +59,7 @@ def py_ratio(a, b):
 
 def test_indel_ratio(spark):
     from pyspark.sql import functions as F
-    pairs = [("kitten", "sitting"), ("abc", "abc"), ("ab", "xy"), ("o-ran.wg1", "o-ran.wg2"), ("", ""),
+    pairs = [("kitten", "sitting"), ("abc", "abc"), ("ab", "xy"), ("a-set.wg1", "a-set.wg2"), ("", ""),
              ("a" * 70 + "b", "a" * 69 + "bb"), ("x" * 64, "y" + "x" * 63)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", RT.indel_ratio(F.col("a"), F.col("b")).alias("r"))
     for row in df.collect():
@@ -97,3 +97,15 @@ def test_rouge_stemmed(spark):
     stemmed = EV.rouge1_f(df, ["id"], stem=True).collect()[0]["rouge1"]
     # stems: reference [the, cat, were, run], answer [a, cat, run] -> P = 2/3, R = 2/4
     assert plain == 0.0 and stemmed == pytest.approx(4 / 7)
+
+
+def test_evaluate_stems_by_default_and_rows_have_four_decimals(spark):
+    from lodestar.operators import evaluation as EV
+    pairs = spark.createDataFrame([("q1", "the cats were running", "the cat was running", "b")],
+                                  "query_id string, reference string, generated string, category string")
+    hits = spark.createDataFrame([("q1", 1, "c1", "cats run")], "query_id string, rank int, chunk_id string, content string")
+    on = EV.evaluate(pairs, hits, ["query_id"]).first()
+    off = EV.evaluate(pairs, hits, ["query_id"], stem=False).first()
+    assert on["rouge1"] > off["rouge1"]
+    row = EV.summary_rows(EV.evaluate(pairs, hits, ["query_id"]), ["query_id"], categories=["a", "b"]).first()
+    assert row["category_order"] == 2 and row["rouge1"] == round(on["rouge1"], 4)

@@ -150,3 +150,50 @@ def test_embedding_slot_and_hybrid_dedup(spark):
     pairs = [(r["query_id"], r["chunk_id"]) for r in kept.collect()]
     assert len(pairs) == len(set(pairs))
     assert kept.groupBy("query_id").count().agg(F.max("count")).collect()[0][0] <= 52
+
+
+def test_insert_keeps_the_stored_bucket_count(spark, tmp_path):
+    """Two inserts with different bucket counts store every id once."""
+    from lodestar.operators import collection as CO
+    path = str(tmp_path / "coll")
+    rows = [(f"c{k}", [1.0, 2.0], f"t{k % 5}", k, "text") for k in range(40)]
+    emb = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, title string, chunk_index int, chunk_content string")
+    CO.insert_if_absent(spark, path, CO.to_records(emb, 64), buckets=64)
+    CO.insert_if_absent(spark, path, CO.to_records(emb, 16), buckets=16)
+    assert spark.read.parquet(path).count() == 40
+    assert CO.stored_buckets(spark, path) == 64
+
+
+def test_append_new_keys_raises_on_a_broken_target(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    from lodestar import streaming as ST
+    path = str(tmp_path / "target")
+    spark.createDataFrame([(1,)], "other int").write.parquet(path)
+    batch = spark.createDataFrame([("a", 1)], "k string, o int")
+    with pytest.raises(AnalysisException):
+        ST.append_new_keys(spark, path, batch, "k", ["o"])
+
+
+def test_fuzzy_keeps_string_ids(spark):
+    from lodestar.operators import fuzzy as FZ
+    names = spark.createDataFrame([("q-1", "report a"), ("q-2", "nothing like it")], "name_id string, name string")
+    titles = spark.createDataFrame([("Report A1",), ("zzz",)], "title string")
+    got = {r["name_id"]: r["title"] for r in FZ.fuzzy_title_match(names, titles).collect()}
+    assert got == {"q-1": "Report A1", "q-2": None}
+
+
+def test_answers_of_both_prompts(spark):
+    from lodestar.operators import prompt as PR
+    rag = spark.createDataFrame([("a", "p1"), ("b", "p2")], "query_id string, prompt string")
+    generic = spark.createDataFrame([("a", "g1")], "query_id string, prompt string")
+    got = {tuple(r) for r in PR.answers(rag, generic, lambda ps: [p.upper() for p in ps]).collect()}
+    assert got == {("a", "P1", "G1"), ("b", "P2", None)}
+
+
+def test_prompt_template_is_a_parameter(spark):
+    from lodestar.operators import prompt as PR
+    qs = spark.createDataFrame([("a", "why?")], "query_id string, query string")
+    hits = spark.createDataFrame([("a", 1, "s", "c1"), ("a", 2, "s", "c2")], "query_id string, rank int, source string, content string")
+    got = PR.assemble_prompt(qs, hits, "evaluation", template="Own rules. {query} | {context}").first()["prompt"]
+    assert got == "Own rules. why? | c1\nc2"
