@@ -124,12 +124,12 @@ def _sparse(sets: list[set], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray
 
 def _margin(x, w: np.ndarray) -> np.ndarray:
     rows, cols, n = x
-    return np.bincount(rows, weights=w[cols], minlength=n) + w[-1]
+    return np.bincount(rows, weights=w[cols], minlength=n).astype(float) + w[-1]  # whole numbers where no row has words
 
 
 def _gather(x, slope: np.ndarray, n: int) -> np.ndarray:
     rows, cols, _ = x
-    out = np.bincount(cols, weights=slope[rows], minlength=n)
+    out = np.bincount(cols, weights=slope[rows], minlength=n).astype(float)
     out[-1] = slope.sum()
     return out
 
