@@ -724,6 +724,17 @@ def q_summary_by_category(spark, sf_dir):
     return EV.summary(evaluation_rows(spark, sf_dir), "category", METRICS)
 
 
+@register("summary_rows", GROUNDING_SQL + """
+SELECT conv_id, turn, category, CAST(nullif(list_position(['q0_t0', 'q0_t1', 'q1_t0', 'q1_t1', 'unlabeled'], category), 0) AS INTEGER)
+       AS category_order, round(bleu, 4) AS bleu, round(rouge1, 4) AS rouge1,
+       round(semantic_similarity, 4) AS semantic_similarity, round(kg_score, 4) AS kg_score FROM ev
+""")
+def q_summary_rows(spark, sf_dir):
+    from ..operators import evaluation as EV
+    order = ["q0_t0", "q0_t1", "q1_t0", "q1_t1", "unlabeled"]
+    return EV.summary_rows(evaluation_rows(spark, sf_dir), PAIR_IDS, "category", order, METRICS)
+
+
 @register("eval_results_readback", GROUNDING_SQL + """
 SELECT conv_id, turn, category, round(bleu, 6) AS bleu, round(rouge1, 6) AS rouge1,
        round(semantic_similarity, 6) AS semantic_similarity, round(kg_score, 6) AS kg_score FROM ev
@@ -870,17 +881,32 @@ def q_fuzzy_title_match(spark, sf_dir):
     return out.select("name_id", "name", "title", r6("ratio").alias("ratio"))
 
 
-@register("knn_approx")
-def q_knn_approx(spark, sf_dir):
+def _cells_of(spark, sf_dir):
+    """``(queries, items stored by cell, centroids)`` of the embeddings."""
+    from ..session import scratch_path
     emb = FX.table(spark, sf_dir, "embeddings")
     items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
     cents = KNN.train_cells(items, n_cells=16)
-    cells = KNN.assign_cells(items, cents)
-    queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    path = scratch_path(spark, "cells")
+    KNN.assign_cells(items, cents).write.partitionBy("cell").parquet(path)
+    return emb.select(F.col("vec_id").alias("query_id"), "embedding"), spark.read.parquet(path), cents
+
+
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    queries, cells, cents = _cells_of(spark, sf_dir)
     hits = KNN.knn_approx(queries, cells, cents, k=P.TOP_K, nprobe=4, item_id="item_id")
     return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
 
 
+@register("knn_approx_all_cells", ORACLE_SQL["knn_exact"])
+def q_knn_approx_all_cells(spark, sf_dir):
+    """Every cell probed: the same rows as the exact search."""
+    queries, cells, cents = _cells_of(spark, sf_dir)
+    hits = KNN.knn_approx(queries, cells, cents, k=P.TOP_K, nprobe=16, item_id="item_id")
+    return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
 # ---------------------------------------------------------------------------
 # Streams (each equals its batch twin)
 # ---------------------------------------------------------------------------

@@ -129,7 +129,7 @@ def test_pruned_knn_equals_unpruned(spark):
              KNN.knn_exact(queries, items, k=10, item_id="item_id", prune_min_candidates=None).collect()}
     pruned = {(r["query_id"], r["item_id"], r["rank"]) for r in
               KNN.knn_exact(queries, items, k=10, item_id="item_id", prune_min_candidates=0,
-                            prune_sample_rows=50).collect()}
+                            prune_one_in=2).collect()}
     assert plain == pruned
 
 
@@ -197,3 +197,30 @@ def test_prompt_template_is_a_parameter(spark):
     hits = spark.createDataFrame([("a", 1, "s", "c1"), ("a", 2, "s", "c2")], "query_id string, rank int, source string, content string")
     got = PR.assemble_prompt(qs, hits, "evaluation", template="Own rules. {query} | {context}").first()["prompt"]
     assert got == "Own rules. why? | c1\nc2"
+
+
+def test_topk_kernel_ties_and_small_steps(spark, monkeypatch):
+    """Blocks of few queries and items, many equal distances: order by (key, id) as in one sort."""
+    import pandas as pd
+    from lodestar.operators import knn as KNN
+    monkeypatch.setattr(KNN, "QUERIES_PER_STEP", 3)
+    monkeypatch.setattr(KNN, "ITEMS_PER_STEP", 7)
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(0, 3, (10, 4)).astype(float), rng.integers(0, 3, (60, 4)).astype(float)
+    ids = rng.permutation(60)
+    top = KNN._TopK(5, np.arange(10), q, "query_id", "item_id")
+    top.add(pd.DataFrame({"item_id": ids, "v": list(x)}), "v", [])
+    got = {(r.query_id, r.item_id) for r in top.best.itertuples()}
+    want = set()
+    for i in range(10):
+        d = ((x - q[i]) ** 2).sum(1)
+        want |= {(i, ids[j]) for j in sorted(range(60), key=lambda j: (d[j], ids[j]))[:5]}
+    assert got == want
+
+
+def test_bounding_pass_has_no_single_task(spark):
+    from lodestar.operators import knn as KNN
+    emb = FX.table(spark, SMALL, "embeddings") if "FX" in globals() else spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    items = emb.selectExpr("vec_id AS item_id", "embedding")
+    df = KNN.knn_exact(emb.selectExpr("vec_id AS query_id", "embedding").where("query_id < 5"), items, k=3, item_id="item_id")
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
