@@ -38,9 +38,9 @@ from .common import buckets_for, text_column, total_bytes
 WIDTH = 20
 MER = 3
 #: Text bytes for each bucket; a bucket holds about three times as much in packed strings.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 #: Text bytes that a task packs at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _MIX = np.random.default_rng(20240502).integers(0, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A document is (key, tag): its id (null: the largest long) and the CRC-32 of its text.
@@ -120,7 +120,7 @@ def _pack(pdf: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
                 texts[b].append(s)
             elif before != at:
                 marks.append((*at, c))
-    zip_ = zstandard.ZstdCompressor(level=1)
+    zip_ = zstandard.ZstdCompressor(level=3)
     out = [(b, zip_.compress(np.array(docs[b], np.int64).T.tobytes()), zip_.compress(b"\n".join(texts[b])),
             None, None, None, None) for b in docs]
     out += [(None, None, None, *m) for m in marks]
