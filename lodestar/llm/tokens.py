@@ -1,7 +1,8 @@
-"""Token ids of whole texts, equal to the ``tokenizers`` library's, at the price of one dictionary lookup a piece.
+"""Token ids of whole texts, equal to the ``tokenizers`` library's, at the price of one dictionary lookup a word.
 
-Byte-pair merges never cross the pieces that a tokenizer's own split makes, so each
-distinct piece is merged once by the library's model and remembered in the worker.
+Byte-pair merges never cross the pieces that a tokenizer's own split makes, so the
+pieces of new words are merged by the library's model, all of a chunk in one call, and
+words that come again are remembered in the worker.
 The split runs here only for texts made of ASCII and Latin-1 letters, for which it
 is the fixed pattern below; any other text, and any text that may hold a special
 token, goes through the library whole.
@@ -14,17 +15,23 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The split patterns of the two vocabularies, restricted to the characters of PLAIN.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡¿À-ÖØ-öø-ÿ]*")
-WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
-BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: (the zero byte, which no plain text holds, stands between words that are split together).
+WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9\x00]+|\x00")
+BYTE_SPLIT = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9\x00]+|\s+(?![^\s\x00])|\s+|\x00")
 
 #: A single space between two visible characters: no piece of either split crosses the point before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 1 << 20
+#: Characters whose new words are merged in one call.
+_CHUNK = 1 << 20
 #: Marks a part of a text that has no space before it.
 _HEAD = "\x00"
 #: A space that other white space or the end follows.
@@ -36,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(1, 256)}
 
 
 def pieces_of_long(text: str) -> list[str]:
@@ -53,25 +60,37 @@ def pieces_of_long(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """A dictionary of at most ``keep`` entries and, behind it, the generation before."""
+    """Values of words met at least twice: at most ``keep``, and behind them the generation before.
+
+    Most distinct words of a corpus occur once; they are forgotten with their chunk.
+    """
 
     def __init__(self, keep: int):
         super().__init__()
-        self.keep, self.old = keep, {}
+        self.keep, self.old, self.once, self.passing = keep, {}, set(), []
 
     def missing(self, keys: set[str]) -> list[str]:
-        """The keys that must be computed; all others are in the dictionary afterwards."""
-        absent = keys.difference(self)
-        if len(self) + len(absent) > self.keep:
+        """The keys whose values must be added; all others are in the dictionary afterwards."""
+        for k in self.passing:
+            del self[k]
+        if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
-            absent = keys
-        self.update((k, self.old[k]) for k in absent if k in self.old)
-        return [k for k in absent if k not in self]
+        absent = keys.difference(self)
+        if self.old:
+            self.update((k, self.old[k]) for k in absent if k in self.old)
+            absent = absent.difference(self)
+        if len(self.once) > self.keep:
+            self.once.clear()
+        first = absent.difference(self.once)
+        self.once.difference_update(absent)
+        self.once |= first
+        self.passing = list(first)
+        return list(absent)
 
 
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit bytes; ``keep`` bounds the remembered words and pieces."""
+    """Ids as little-endian unsigned 32-bit bytes; ``keep`` bounds the remembered words."""
 
     def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
@@ -82,7 +101,7 @@ class PieceEncoder:
         self.bare = Tokenizer(self.library.model)
         self.split = self._known_split()
         self.letters = _byte_letters()
-        self.words, self.pieces = Remembered(keep), Remembered(keep)
+        self.words = Remembered(keep)
 
     def _known_split(self) -> re.Pattern | None:
         """The pattern above if the file's normalizer and split are the known ones, else None (always whole texts)."""
@@ -103,25 +122,23 @@ class PieceEncoder:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the ids of ``words`` (keys as in ``_keys``), merging each new piece once."""
+        """Put the ids of ``words`` (keys as in ``_keys``) in the dictionary, merging all new ones in one call."""
         new = self.words.missing(words)
         if not new:
             return
-        find = self.split.findall
-        if self.split is WORD_SPLIT:
-            parts = [find(w) for w in new]
-        else:
-            parts = [find(w[1:] if w[:1] == _HEAD else " " + w) for w in new]
-        todo = self.pieces.missing(set().union(*parts))
-        if todo:
-            e = self.bare.encode([p.translate(self.letters) for p in todo], is_pretokenized=True,
-                                 add_special_tokens=False)
-            lists: list[list[int]] = [[] for _ in todo]
-            for i, k in zip(e.ids, e.word_ids):
-                lists[k].append(i)
-            self.pieces.update((p, _packed(x)) for p, x in zip(todo, lists))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, p))) for w, p in zip(new, parts))
+        texts = new if self.split is WORD_SPLIT else [w[1:] if w[:1] == _HEAD else " " + w for w in new]
+        flat = self.split.findall(_HEAD.join(texts))
+        between = np.fromiter((p == _HEAD for p in flat), bool, len(flat))
+        owner = np.cumsum(between)[~between]
+        pieces = [p for p in flat if p != _HEAD]
+        distinct = list(dict.fromkeys(pieces))
+        e = self.bare.encode(_HEAD.join(distinct).translate(self.letters).split(_HEAD), is_pretokenized=True,
+                             add_special_tokens=False)
+        ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(distinct)))).tolist()
+        of = dict(zip(distinct, _slices(np.array(e.ids, "<u4").tobytes(), ends)))
+        parts = list(map(of.__getitem__, pieces))
+        ends = np.cumsum(np.bincount(owner, np.fromiter(map(len, parts), np.int64, len(parts)), len(new))).astype(int)
+        self.words.update(zip(new, _slices(b"".join(parts), ends.tolist())))
 
     def _keys(self, text: str) -> list[str]:
         """Parts of a plain text that encode by themselves.
@@ -151,7 +168,7 @@ class PieceEncoder:
                 continue
             todo += [(k, self._keys(part)) for part in pieces_of_long(text)]
             size += len(text)
-            if size > _LONG:
+            if size > _CHUNK:
                 self._finish(todo, out)
                 todo, size = [], 0
         self._finish(todo, out)
@@ -164,6 +181,11 @@ class PieceEncoder:
             out[k] += b"".join(map(get, words))
 
 
+def _slices(data: bytes, ends: list[int]):
+    """The stretches of ``data`` that stop at ``ends``."""
+    return map(data.__getitem__, map(slice, [0, *ends], ends))
+
+
 def _packed(ids: list[int]) -> bytes:
     a = array("I", ids)
     if sys.byteorder == "big":
