@@ -13,7 +13,7 @@
    again; in each neighbourhood pairs above the estimate are confirmed on the full sets,
    best estimate first and only between classes not yet linked, and a spanning forest
    of the confirmed links is returned.
-5. Components of the confirmed links.
+5. Components of the confirmed links between classes; every copy takes its class's component.
 
 With 32 bands of five, a pair at similarity 0.85 shares no band with probability 7e-9;
 the estimate's deviation there is 0.022, so SLACK is 4.5 deviations.
@@ -266,12 +266,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     hoods = staged(components(near.distinct()), "neighbourhoods")
 
     confirmed = _confirm(docs, classes, hoods, least, percent)
-    # An id of several sets stands for each of them, and copies hang on their class.
-    copies = sets.select("digest", F.col("doc_id").alias("u")).join(
-        classes.select("digest", F.col("doc_id").alias("v")), "digest").where("u <> v").select("u", "v")
-    linked = components(confirmed.unionByName(copies))
-    return (ids.join(linked, ids["doc_id"] == linked["node"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rep = classes.select("digest", F.col("doc_id").alias("rep"))
+    # An id of several sets links their classes; copies never enter the component steps.
+    several = (sets.select("doc_id", "digest").distinct().join(rep, "digest").groupBy("doc_id")
+               .agg(F.min("rep").alias("u"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+               .select("u", F.explode("reps").alias("v")))
+    linked = components(confirmed.unionByName(several)).withColumnRenamed("node", "rep")
+    found = ids.join(rep, "digest", "left").join(linked, "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return (found.select("doc_id", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

@@ -105,6 +105,13 @@ def test_near_duplicates_of_odd_rows(odd, empty):
         i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_id_on_two_texts_links_both(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a), (3, b), (4, b), (1, a), (9, "x y z"), (9, "x y z")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (3, 1), (3, 1), (4, 1), (9, 9), (9, 9)]
+
+
 def test_estimate_counts_equal_bytes():
     import numpy as np
 
