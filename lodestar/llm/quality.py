@@ -2,8 +2,8 @@
 
 Every line with a word is judged first:
 
-* punctuation: it must end in a closing mark, and symbols and exclamation marks may
-  make up at most ``NOISE`` of its characters;
+* punctuation: it must end in a closing mark or hold the end of a sentence, and symbols and
+  exclamation marks may make up at most ``NOISE`` of its characters;
 * navigation: it may not hold ``SEPARATORS`` or more menu separators;
 * boilerplate: it may not hold one of ``PHRASES``.
 
@@ -28,6 +28,7 @@ from .common import WHITESPACE, text_column
 
 SYMBOLS = "#*$%&|<>"
 CLOSING = (".", "!", "?", ":", ";", ",", '"', "'", ")", "]", "…", "”", "’", "»")
+SENTENCE_ENDS = (". ", "! ", "? ")
 MENU = ("|", "»", "›", "•")
 PHRASES = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
            "enable javascript", "lorem ipsum", "click here", "read more", "sign in", "log in", "subscribe to our")
@@ -81,10 +82,12 @@ def line_passes(line: Column) -> Column:
     bare = F.btrim(line, F.lit(WHITESPACE))
     noise = occurrences(line, SYMBOLS + "!")
     low = F.lower(line)
-    boilerplate = F.lit(False)
+    sentence, boilerplate = F.right(bare, F.lit(1)).isin(*CLOSING), F.lit(False)
+    for e in SENTENCE_ENDS:
+        sentence = sentence | F.contains(bare, F.lit(e))
     for p in PHRASES:
         boilerplate = boilerplate | F.contains(low, F.lit(p))
-    return (F.right(bare, F.lit(1)).isin(*CLOSING) & (noise <= F.char_length(line) * F.lit(NOISE))
+    return (sentence & (noise <= F.char_length(line) * F.lit(NOISE))
             & (occurrences(line, MENU) < SEPARATORS) & ~boilerplate)
 
 
@@ -146,6 +149,7 @@ def report_sql() -> str:
     count = lambda column, symbols: " + ".join(
         f"length({column}) - length(replace({column}, '{s}', ''))" for s in symbols)
     phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in PHRASES)
+    ends = " OR ".join(f"contains(trim(l, @), '{e}')" for e in SENTENCE_ENDS)
     space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -156,7 +160,7 @@ twice AS (SELECT r, unnest(list(i)) AS i FROM win GROUP BY r, x HAVING count(*)
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM twice) GROUP BY r),
 f AS (SELECT w.r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {count('text', SYMBOLS)} AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, lines,
-             list_filter(lines, lambda l: right(trim(l, {space}), 1) IN ({_sql_list(CLOSING)})
+             list_filter(lines, lambda l: (right(trim(l, {space}), 1) IN ({_sql_list(CLOSING)}) OR {ends.replace("@", space)})
                  AND {count('l', SYMBOLS + '!')} <= length(l) * CAST({NOISE} AS DOUBLE)
                  AND {count('l', MENU)} < {SEPARATORS} AND NOT ({phrases})) AS good
       FROM w LEFT JOIN rep USING (r)),
