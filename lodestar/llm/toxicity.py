@@ -68,14 +68,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -50, 50))))
 
 
-def vocabulary_of(positive: list[set], unlabelled: list[set]) -> list[str]:
+class WordSets:
+    """The word sets of texts, made anew in each pass, so that only the texts stay in memory."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self):
+        return map(words_of, self.texts)
+
+
+def vocabulary_of(positive, unlabelled) -> list[str]:
     """Words over-represented among the toxic texts, strongest first."""
-    in_p, in_u = Counter(w for s in positive for w in s), Counter(w for s in unlabelled for w in s)
+    in_p = {w: k for w, k in Counter(w for s in positive for w in s).items() if k >= LEAST_TEXTS}
+    in_u = Counter(w for s in unlabelled for w in s if w in in_p)
     n, m = len(positive), len(unlabelled)
     scores = {}
     for w, k in in_p.items():
-        if k < LEAST_TEXTS:
-            continue
         both = (k + in_u[w]) / (n + m)
         z = (k / n - in_u[w] / m) / max(np.sqrt(both * (1 - both) * (1 / n + 1 / m)), 1e-12)
         if z >= LEAST_Z:
@@ -83,8 +95,8 @@ def vocabulary_of(positive: list[set], unlabelled: list[set]) -> list[str]:
     return sorted(scores, key=lambda w: (-scores[w], w))[:VOCABULARY]
 
 
-def fit(positive: list[set], unlabelled: list[set], prior: float) -> Model:
-    """Full-batch Adam on the non-negative risk of a linear scorer over word presence."""
+def fit(positive, unlabelled, prior: float) -> Model:
+    """Full-batch Adam on the non-negative risk of a linear scorer over word presence (lists of word sets)."""
     if not positive or not unlabelled:
         return Model({}, -50.0)
     vocabulary = vocabulary_of(positive, unlabelled)
@@ -113,7 +125,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _sparse(sets: list[set], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+def _sparse(sets, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
     rows, cols = [], []
     for k, s in enumerate(sets):
         own = [at[w] for w in s if w in at]
@@ -152,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .select("id", F.lit(False).alias("positive")))
     sample = learn.join(F.broadcast(ids), "id").select("id", "positive", "text")
     got = sample.orderBy("id", "positive").limit(2 * (POSITIVES + UNLABELLED)).collect()
-    return fit([words_of(r["text"]) for r in got if r["positive"]],
-               [words_of(r["text"]) for r in got if not r["positive"]], n_toxic / n_known)
+    texts = {kind: [r["text"] for r in got if r["positive"] == kind] for kind in (True, False)}
+    del got
+    return fit(WordSets(texts[True]), WordSets(texts[False]), n_toxic / n_known)
 
 
 def scored(texts: Column, model: Model) -> Column:
