@@ -143,10 +143,14 @@ def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str
 
 
 def rebuild_collection(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id",
-                       order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Clear the collection and load ``batch`` (first per key wins) in ``buckets`` buckets."""
+                       order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS, unique: bool = False) -> None:
+    """Clear the collection and load ``batch`` (first per key wins) in ``buckets`` buckets.
+
+    ``unique`` says that the batch holds every key once (winners picked before embedding, say).
+    """
     _write_layout(spark, path, buckets)
-    _write(first_per_key(in_buckets(batch, buckets, key), key, order, also=("bucket",)), path, "overwrite")
+    placed = in_buckets(batch, buckets, key)
+    _write(placed if unique else first_per_key(placed, key, order, also=("bucket",)), path, "overwrite")
 
 
 def _write_layout(spark: SparkSession, path: str, buckets: int) -> None:

@@ -384,8 +384,10 @@ FROM coll
 def q_rebuild_collection(spark, sf_dir):
     from ..session import scratch_path
     path = scratch_path(spark, "collection")
-    recs = CO.to_records(EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content"))
-    CO.rebuild_collection(spark, path, recs, order=COLL_ORDER)
+    # Winners are picked on the chunks, so only they are embedded, and no vector is sorted.
+    first = CO.first_per_key(shared_chunks(spark, sf_dir), "chunk_id", COLL_ORDER)
+    recs = CO.to_records(EM.embed_hashed(first, "chunk_content"))
+    CO.rebuild_collection(spark, path, recs, order=COLL_ORDER, unique=True)
     back = spark.read.parquet(path)
     return back.select("chunk_id", "doc_id", "metadata.title", "metadata.token_length", "metadata.embedding_model")
 
@@ -646,7 +648,8 @@ def _eval_retrieval(spark, sf_dir, pairs: DataFrame) -> DataFrame:
     from ..operators import retrieval as RT
     coll = staged(spark, CO.to_records(embedded_chunks(spark, sf_dir)), "collection")
     qv = EM.embed_hashed(pairs.select("query_id", "reference"), "reference", model_col=None)
-    return RT.retrieve_vector(qv, coll, k=P.TOP_K).withColumn("rank", F.col("leg_rank"))
+    hits = RT.retrieve_vector(qv, coll, k=P.TOP_K).withColumn("rank", F.col("leg_rank"))
+    return staged(spark, hits, "hits")  # grounding reads the hits twice; the search runs once
 
 
 GROUNDING_SQL = f"""
