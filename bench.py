@@ -24,7 +24,7 @@ HEADLINE = [
     "insert_if_absent",      # keyed insert, replayed
     "hybrid_retrieve",       # exact-title leg + vector leg, cut at 52
     "assemble_prompt",
-    "fuzzy_title_match",     # prefix-filtered similarity join
+    "fuzzy_title_match",     # names against titles of a fitting length
     "bleu4",
     "rouge1_f",
     "evaluate",              # four metrics per pair incl. retrieval for grounding

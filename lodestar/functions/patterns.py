@@ -59,8 +59,6 @@ STRIP = rf"(?U)\A{WS}+|{WS}+\z"
 # ---------------------------------------------------------------------------
 #: dot cleaner: one dot then five or more, so runs of six or more dots go
 DOT_RUN = r"\.\.{5,}"
-#: title mention in a question: "document" or "file", whitespace, a name
-TITLE_MENTION_BODY = r"(?:document|file)\s+([\w\.-]+)"
 #: legal keywords removed from retrieved text, each up to the end of its line
 LEGAL_KEYWORDS = ("IPR", "copyright", "patents", "trademarks", "terms of use")
 #: noise tags; a retrieved chunk containing any of them (lower-cased) is noise
@@ -81,8 +79,6 @@ DEFAULT_TITLE = "Unknown"
 DEFAULT_SOURCE = "Unknown"
 DEFAULT_TOKEN_LENGTH = 0
 DEFAULT_MODEL = "Unknown Model"
-#: model name written next to each embedding by the reference's embedding step
-REFERENCE_MODEL_NAME = "all-MiniLM-L12-v2"
 #: allowed upload extensions (web path) and batch extensions
 UPLOAD_EXTENSIONS = ("pdf", "docx")
 #: chunk id and chunk file name

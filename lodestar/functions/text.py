@@ -56,12 +56,6 @@ def split_ext_root(col) -> Column:
     return F.when(root == F.lit(""), name).otherwise(root)
 
 
-def extension(col) -> Column:
-    """``os.path.splitext(name)[1]`` without the dot ('' when there is none)."""
-    name = _c(col)
-    return F.regexp_extract(name, r"\A\.*[^.].*\.([^.]*)\z", 1)
-
-
 def derive_title(path_col) -> Column:
     """Title of a file: base name without the last extension, or without ``_chunks.json``."""
     name = base_name(path_col)
