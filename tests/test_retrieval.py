@@ -76,6 +76,15 @@ def test_knn_approx_full_probe_is_exact_and_recall_grows(spark):
     assert recalls == sorted(recalls) and recalls[-1] >= 0.9
 
 
+def test_registered_knn_approx_reaches_its_recall(spark, monkeypatch):
+    medium = "/root/testdata/sf0.01"
+    for bound in (KNN.MEASURED_QUERIES, 100):  # 100: chosen on a part of the queries
+        monkeypatch.setattr(KNN, "MEASURED_QUERIES", bound)
+        exact, got = ({(r["query_id"], r["item_id"]) for r in catalog.QUERIES[n](spark, medium).collect()}
+                      for n in ("knn_exact", "knn_approx"))
+        assert exact and len(got & exact) >= 0.9 * len(exact)
+
+
 def test_noise_fallback(spark):
     df = spark.createDataFrame([(1, "a Table"), (1, "clean"), (2, "list here"), (2, "APPENDIX")], "query_id int, content string")
     got = sorted((r["query_id"], r["content"]) for r in RT.noise_filter(df).collect())
