@@ -10,8 +10,10 @@ cannot win by calling all unlabelled text clean beyond what the prior allows.
 
 Features are the distinct lower-case words of a text (letters and digits), looked up in a
 vocabulary of exact words, so that no rare word shares a weight by hashing.  The vocabulary
-holds the words whose share among toxic sample texts exceeds that among unlabelled ones by
-``LEAST_Z`` standard errors.  Labels, language, source and id are never features.
+holds every word of ``LEAST_TEXTS`` toxic sample texts or more whose share among them exceeds that among
+unlabelled ones.  None is cut by its strength: a word over-represented by ``z`` standard errors decays
+``1 + (STEADY / z) ** 4`` times as fast, so the words of a language with few toxic texts still count, and
+words over-represented by chance stay near 0.  Labels, language, source and id are never features.
 
 The sample that fits the model is bounded: at most ``POSITIVES`` toxic and ``UNLABELLED``
 other texts of rows that the fold rule leaves for learning, each of at most ``LONGEST``
@@ -26,6 +28,7 @@ occur twice are scored twice; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -38,8 +41,8 @@ from .common import text_column
 
 #: Bounds of the training sample.
 POSITIVES, UNLABELLED, LONGEST = 3000, 9000, 20_000
-#: Words of the model: at most so many, in at least so many toxic texts, over-represented by so many standard errors.
-VOCABULARY, LEAST_TEXTS, LEAST_Z = 5_000, 4, 7.0
+#: Words of the model are in at least so many toxic texts; standard errors at which a word's decay is doubled.
+LEAST_TEXTS, STEADY = 4, 4.0
 EPOCHS, RATE, DECAY = 500, 0.2, 1e-5
 THRESHOLD = 0.7
 
@@ -81,8 +84,8 @@ class WordSets:
         return map(words_of, self.texts)
 
 
-def vocabulary_of(positive, unlabelled) -> list[str]:
-    """Words over-represented among the toxic texts, strongest first."""
+def vocabulary_of(positive, unlabelled) -> dict[str, float]:
+    """Words over-represented among the toxic texts and by how many standard errors, strongest first."""
     in_p = {w: k for w, k in Counter(w for s in positive for w in s).items() if k >= LEAST_TEXTS}
     in_u = Counter(w for s in unlabelled for w in s if w in in_p)
     n, m = len(positive), len(unlabelled)
@@ -90,9 +93,9 @@ def vocabulary_of(positive, unlabelled) -> list[str]:
     for w, k in in_p.items():
         both = (k + in_u[w]) / (n + m)
         z = (k / n - in_u[w] / m) / max(np.sqrt(both * (1 - both) * (1 / n + 1 / m)), 1e-12)
-        if z >= LEAST_Z:
+        if z > 0:
             scores[w] = z
-    return sorted(scores, key=lambda w: (-scores[w], w))[:VOCABULARY]
+    return dict(sorted(scores.items(), key=lambda x: (-x[1], x[0])))
 
 
 def fit(positive, unlabelled, prior: float) -> Model:
@@ -101,6 +104,7 @@ def fit(positive, unlabelled, prior: float) -> Model:
         return Model({}, -50.0)
     vocabulary = vocabulary_of(positive, unlabelled)
     at = {w: k for k, w in enumerate(vocabulary)}
+    decay = DECAY * (1 + (STEADY / np.array(list(vocabulary.values()))) ** 4)
     xp, xu = _sparse(positive, at), _sparse(unlabelled, at)
     n = len(vocabulary) + 1  # the last weight is the bias
     w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -114,10 +118,10 @@ def fit(positive, unlabelled, prior: float) -> Model:
             grad = _gather(xp, -prior * (down + up_p), n) + _gather(xu, up_u, n)
         else:
             grad = _gather(xp, prior * up_p, n) - _gather(xu, up_u, n)
-        grad[:-1] += DECAY * w[:-1]
+        grad[:-1] += decay * w[:-1]
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
-        w -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        w -= RATE * (1 - t / (1.2 * EPOCHS)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return Model({x: float(w[k]) for x, k in at.items() if w[k]}, float(w[-1]))
 
 
@@ -126,12 +130,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _sparse(sets, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    rows, cols = [], []
-    for k, s in enumerate(sets):
-        own = [at[w] for w in s if w in at]
-        rows += [k] * len(own)
-        cols += own
-    return np.array(rows, np.int64), np.array(cols, np.int64), len(sets)
+    cols, lengths = array("i"), []
+    for s in sets:
+        before = len(cols)
+        cols.extend(sorted(at[w] for w in s if w in at))
+        lengths.append(len(cols) - before)
+    return np.repeat(np.arange(len(lengths)), lengths), np.array(cols, np.int64), len(sets)
 
 
 def _margin(x, w: np.ndarray) -> np.ndarray:

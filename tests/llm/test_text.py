@@ -8,7 +8,7 @@ from conftest import NEAR, ROWS
 from lodestar.llm import components, licenses, minhash, quality, substrings, toxicity
 from lodestar.llm.common import table
 
-SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MEDIUM, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_quality_figures_on_odd_rows(odd, empty):
@@ -136,6 +136,18 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(clean)
 
 
+def test_toxicity_recall_of_each_language(spark):
+    """Small languages too: a few toxic texts are enough for their words."""
+    docs, labels = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    rows = (toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id")
+            .join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect())
+    for lang in {r["lang"] for r in rows}:
+        found = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"]]
+        assert sum(found) >= 0.6 * len(found), lang
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_learns_nothing_from_held_out_labels(spark):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
