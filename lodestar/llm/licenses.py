@@ -6,6 +6,12 @@ template saves ranks the templates.  The best ``RANKED`` are confirmed by the ex
 template are aligned, and the template with the most matched words and the fewest differences wins if at
 least ``LEAST_MATCH`` of the shorter text's words match.  The differing words are returned.
 
+A block that holds other words too is cut into sentences, and the sentences around
+each cue, alone and in runs of up to the longest template's length, are judged by the same two steps; so are, in a
+sentence longer than that, the stretches where a template's sentence would lie if the cue's word were its own.  Of
+confirmed stretches that overlap, the one with the most matched less differing words stands, so a block may hold
+several notices, each a row.
+
 Cues are looked for in whole texts.  A block of very many documents is one row after the partial
 aggregate; verdicts return to the documents by a join on the block's digest.
 
@@ -55,6 +61,7 @@ CUES = ("licen", "copyright", "redistribut", "permission is", "rights reserved",
 RANKED, LEAST_SAVING, LEAST_MATCH = 3, 0.25, 0.75
 
 _WORD = re.compile(r"[^\s\"'();:,]+")
+_SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?](?=\s)|[^\n]*)")
 
 
 def wording(text: str) -> list[str]:
@@ -87,6 +94,8 @@ class Scanner:
         self.names = sorted(templates)
         self.given = {n: self._compressor(templates[n].encode()) for n in self.names}
         self.words = {n: wording(templates[n]) for n in self.names}
+        self.sentences = [wording(x) for n in self.names for x in _SENTENCE.findall(templates[n])]
+        self.longest = max(map(len, self.words.values()), default=0)
 
     @staticmethod
     def _compressor(dictionary: bytes | None) -> zstandard.ZstdCompressor:
@@ -127,21 +136,72 @@ class Scanner:
                 best = rank, (name, round(saving, 6), n, matched, extra, missing)
         return best and best[1]
 
-
-VERDICT = ("digest binary, license string, saving double, n_words int, n_matched int, extra array<string>, "
+    def notices(self, block: str) -> list[tuple]:
+        """(text, *verdict) of the block itself or, if it holds other words or is no notice, of the notices inside."""
+        whole = self.judge(block)
+        if whole is not None and not whole[4]:
+            return [(block, *whole)]
+        found = []
+        for a, b in self.stretches(block) | {(0, len(block))}:
+            if (v := self.judge(block[a:b])) is not None:
+                found.append((len(v[4]) + len(v[5]) - v[3], b - a, a, b, v))
+        out = []
+        for _, _, a, b, v in sorted(found, key=lambda x: x[:4]):
+            if all(b <= c or d <= a for c, d, _ in out):
+                out.append((a, b, v))
+        return [(block[a:b], *v) for a, b, v in sorted(out, key=lambda x: x[:2])]
+
+    def stretches(self, block: str) -> set[tuple[int, int]]:
+        """Where a notice may stand: (start, end) of the stretches around cues."""
+        parts = [m.span() for m in _SENTENCE.finditer(block)]
+        sizes = [len(wording(block[a:b])) for a, b in parts]
+        out = set()
+        for k, (a, b) in enumerate(parts):
+            low = block[a:b].lower()
+            if not any(c in low for c in CUES):
+                continue
+            if sizes[k] > self.longest:
+                out |= {(a + c, a + d) for c, d in self._word_stretches(block[a:b])}
+                continue
+            for first in range(k, -1, -1):
+                if sum(sizes[first:k + 1]) > self.longest:
+                    break
+                for last in range(k, len(parts)):
+                    if sum(sizes[first:last + 1]) > self.longest:
+                        break
+                    out.add((parts[first][0], parts[last][1]))
+        return out
+
+    def _word_stretches(self, sentence: str) -> set[tuple[int, int]]:
+        spans = [(m.start(), m.end(), m[0].lower().rstrip(".")) for m in _WORD.finditer(sentence)]
+        spans = [x for x in spans if x[2]]
+        out = set()
+        for k, (_, _, word) in enumerate(spans):
+            if any(c in word for c in CUES) or word in ("permission", "rights", "public"):
+                for t in self.sentences:
+                    for at in (p for p, w in enumerate(t) if w == word):
+                        first, last = max(0, k - at), min(len(spans), k - at + len(t)) - 1
+                        out.add((spans[first][0], spans[last][1]))
+        return out
+
+
+VERDICT = ("digest binary, notice string, license string, saving double, n_words int, n_matched int, extra array<string>, "
            "missing array<string>")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``doc_id, block_no, license, saving, n_words, n_matched, extra, missing, block`` of every confirmed block."""
+    """``doc_id, block_no, license, saving, n_words, n_matched, extra, missing, block`` of every confirmed block
+    or notice inside a block."""
     blocks = candidate_blocks(docs).withColumn("digest", F.unhex(F.sha2(F.col("block").cast("binary"), 256)))
     distinct = blocks.groupBy("digest").agg(F.first("block").alias("block"))
 
     def judge(batches):
         scanner = Scanner(templates)
         for b in batches:
-            found = [(d, *v) for d, t in zip(b["digest"], b["block"]) if (v := scanner.judge(t)) is not None]
-            yield pd.DataFrame(found, columns=["digest", "license", "saving", "n_words", "n_matched", "extra", "missing"])
+            found = [(d, *v) for d, t in zip(b["digest"], b["block"]) for v in scanner.notices(t)]
+            yield pd.DataFrame(found, columns=["digest", "notice", "license", "saving", "n_words", "n_matched", "extra",
+                                               "missing"])
 
     return (blocks.join(distinct.mapInPandas(judge, VERDICT), "digest")
-            .select("doc_id", "block_no", "license", "saving", "n_words", "n_matched", "extra", "missing", "block"))
+            .select("doc_id", "block_no", "license", "saving", "n_words", "n_matched", "extra", "missing",
+                    F.col("notice").alias("block")))

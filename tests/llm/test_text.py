@@ -72,6 +72,26 @@ def test_license_wording(spark, empty, odd):
     assert extra == ["4"] and missing == ["general"] and matched == 10
 
 
+@pytest.mark.parametrize("n", [0, 5, 40, 200, 800])
+def test_license_notices_inside_long_lines(spark, n):
+    prose = "".join(f"Some plain words of a story number {k} go here. " for k in range(n))
+    notice, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    loose = "plain words without any mark " * n
+    gpl = "This work is licensed under the GNU General Public License, version 3"
+    mpl = licenses.TEMPLATES["MPL-2.0"]
+    rows = [(1, prose + notice), (2, notice + " " + prose), (3, prose + notice + " " + prose + mit + " " + prose),
+            (4, loose + gpl + " " + loose), (5, prose + "He got a licence to drive and a permission to stay."),
+            (6, prose + mpl + " " + prose)]
+    got = [(r["doc_id"], r["license"], r["block"].strip()) for r in
+           licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, "Apache-2.0", notice), (2, "Apache-2.0", notice), (3, "Apache-2.0", notice), (3, "MIT", mit),
+            (4, "GPL-3.0", gpl), (6, "MPL-2.0", mpl)]
+    if n:
+        assert sorted(got) == want
+    else:
+        assert {(1, "Apache-2.0", notice), (4, "GPL-3.0", gpl), (6, "MPL-2.0", mpl)} <= set(got)
+
+
 def test_license_scan_finds_every_notice(small, texts):
     notice = {i for i, t in texts for x in (t or "").split("\n") if "icensed under" in x or "under the MIT License" in x}
     assert {r["doc_id"] for r in licenses.scan(small).collect()} == notice
