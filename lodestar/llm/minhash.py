@@ -205,6 +205,8 @@ def _forest_of_links(pdf: pd.DataFrame, least: float, percent: int) -> pd.DataFr
     size = np.array([len(s) for s in sets])
     left, right = _sides(pdf)
     found = list(_pairs(sig, left, right, least))
+    if not found:  # the hash left one of the two blocks empty
+        return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
     x, y, e = (np.concatenate([f[k] for f in found]) for k in range(3))
     # 100 I >= p (a + b - I) with I <= min(a, b): sizes too far apart can't be linked.
     ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
@@ -242,7 +244,7 @@ def _block_pairs(members: DataFrame, key: str, sizes: DataFrame, block: int) ->
     """
     joined = members.join(sizes.where("n > 1"), key)
     many = joined.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn(
-        "own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        "own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = many.withColumn("other", other)
     return dealt.select(
@@ -259,9 +261,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = staged(sets.groupBy("digest").agg(
         F.min(F.struct("doc_id", "sig", "bands")).alias("c")).select("c.doc_id", "c.sig", "c.bands", "digest"), "classes")
 
-    banded = classes.select("doc_id", F.explode("bands").alias("key"))
+    banded = classes.select("doc_id", "digest", F.explode("bands").alias("key"))
     members = _block_pairs(banded, "key", banded.groupBy("key").agg(F.count("*").alias("n")), BLOCK)
-    near = (members.join(classes.select("doc_id", "sig"), "doc_id")
+    near = (members.join(classes.select("digest", "sig"), "digest")
             .groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest_of_estimates(pdf, least), "u long, v long"))
     hoods = staged(components(near.distinct()), "neighbourhoods")
 
@@ -280,19 +282,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _confirm(docs: DataFrame, classes: DataFrame, hoods: DataFrame, least: float, percent: int) -> DataFrame:
     """Confirmed links inside neighbourhoods, from the full shingle sets of their members' texts."""
-    size = hoods.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = hoods.join(classes, hoods["node"] == classes["doc_id"]).select("doc_id", "digest", "sig", "component")
+    members = hoods.withColumnRenamed("node", "doc_id")
+    wanted = classes.select("doc_id", "digest", "sig")
+    # An id may stand for several classes: a row for each.
+    size = members.join(wanted, "doc_id").groupBy("component").agg(F.count("*").alias("n"))
 
     def cut(batches):
         for b in batches:
-            s = [shingle_set(t) for t in b["text"]]
-            own = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d for x, d in zip(s, b["digest"])]
-            out = b[["doc_id", "component", "sig"]].assign(shingles=[x.tobytes() for x in s])
-            yield out[own]  # another row with the same id has its own class
-
-    texts = docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).join(wanted, "doc_id")
-    full = texts.mapInPandas(cut, "doc_id long, component long, sig binary, shingles binary").dropDuplicates(
-        ["doc_id", "component"])
+            s = [shingle_set(t).tobytes() for t in b["text"]]
+            yield b[["doc_id", "component"]].assign(
+                digest=[hashlib.blake2b(x, digest_size=16).digest() for x in s], shingles=s)
+
+    texts = docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).join(members, "doc_id")
+    full = texts.mapInPandas(cut, "doc_id long, component long, digest binary, shingles binary").dropDuplicates(
+        ["doc_id", "digest"]).join(wanted, ["doc_id", "digest"])  # another id stands for other classes
     return (_block_pairs(full, "component", size, FULL_BLOCK).groupBy("component", "i", "j")
             .applyInPandas(lambda pdf: _forest_of_links(pdf, least, percent), "u long, v long"))
 

@@ -132,6 +132,18 @@ def test_one_id_on_two_texts_links_both(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (3, 1), (3, 1), (4, 1), (9, 9), (9, 9)]
 
 
+@pytest.mark.parametrize("blocks", [(1024, 512), (3, 2)])
+def test_near_copies_of_each_text_of_one_id(spark, monkeypatch, blocks):
+    monkeypatch.setattr(minhash, "BLOCK", blocks[0])
+    monkeypatch.setattr(minhash, "FULL_BLOCK", blocks[1])
+    texts = [" ".join(f"t{t}w{k}" for k in range(100)) for t in range(6)]
+    rows = [(1, t) for t in texts] + [(10 + k, t + " more") for k, t in enumerate(texts)] + [(50, "else " + texts[0][:99])]
+    rows += [(7, texts[0].replace("t0", "a")), (7, texts[0].replace("t0", "a") + " b"), (8, texts[0].replace("t0", "a") + " c")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: 1 for i in (1, *range(10, 16))} | {50: 50, 7: 7, 8: 7}
+    assert len(out) == len(rows) and {(r["doc_id"], r["component_id"]) for r in out} == set(want.items())
+
+
 def test_estimate_counts_equal_bytes():
     import numpy as np
 
