@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from brute import near_components, removed_windows, words
-from conftest import NEAR, ROWS
+from llm_cases import NEAR, ROWS
 
 from lodestar.llm import components, licenses, minhash, quality, substrings, toxicity
 from lodestar.llm.common import table

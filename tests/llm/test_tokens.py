@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import crc
-from conftest import ROWS
+from llm_cases import ROWS
 from tokenizers import Tokenizer
 
 from lodestar.llm import packing, repair, token_counts, word_table
