@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, packing, quality, repair, substrings, token_counts, topk, toxicity, word_table
+from . import (contamination, divergence, importance, licenses, minhash, packing, quality, repair, substrings, token_counts, topk,
+               toxicity, word_table)
 from .common import shared_path, table
 from .tokens import vocabulary_path
 
@@ -53,7 +54,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_quality_rules, op3_license_scan, op4_minhash_near_dedup, op5_repair_token_ids,
-    op6_word_table_bpe, op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.report_sql(), "op8_exact_top_k": topk.top_k_sql()}
+    op6_word_table_bpe, op7_toxicity, op8_exact_top_k, op9_token_counts, op10_substring_dedup,
+    op11_decontamination, op12_source_divergence, op13_importance_resampling)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.report_sql(), "op8_exact_top_k": topk.top_k_sql(),
+    "op11_decontamination": contamination.contamination_sql(), "op12_source_divergence": divergence.divergences_sql()}
