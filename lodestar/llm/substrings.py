@@ -9,14 +9,19 @@ dictionary, windows are sorted by a rolling hash, and neighbours of equal hash
 are compared word by word.  All but the smallest (doc_id, start) of equal windows mark their
 words; marks return to the documents as intervals.
 
-Super-k-mers of equal words inside one task are packed once: the later ones are marked
+Super-k-mers of equal words inside one batch are packed once: the later ones are marked
 on the spot, so a passage that a third of all documents share sends one string from
-each task, not one from each document.  Packed strings of one task and
-bucket are compressed together.
+each batch, not one from each document.  Packed strings of one batch and
+bucket are compressed together.  A bucket is counted one of its ``CELLS`` cells at a time.
+
+A first pass counts the words of every cell.  A cell of more than ``HOT_WORDS`` words (the flanks of a passage
+that very many documents share have their own words beside shared ones, so none is packed once) is not kept together:
+its windows travel by their 128-bit digests, each batch sends the smallest window of each digest, and they are dealt
+by digest over as many buckets as they fill.  Equal windows have equal digests, so they still meet.
 
 Defined cases: null, empty and blank texts have no words (0, 0, SHA-256 of the
 empty text); a text of fewer than ``width`` words has no window; rows with equal ids are told apart by
-their content digest, and rows that agree in both are one document; rows with null ids
+a 64-bit digest of their text (rows without id by 128 bits), and rows that agree in both are one document; rows with null ids
 come after all others; an empty table gives no rows; other columns are ignored.
 """
 
@@ -25,27 +30,33 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, text_column, total_bytes
 
 WIDTH = 20
 MER = 3
-#: Text bytes for each bucket; a bucket holds about three times as much in packed strings.
-BUCKET_BYTES = 3 << 20
+#: Text bytes for each bucket (a bucket holds about three times as much in packed strings) and cells of a bucket.
+BUCKET_BYTES, CELLS = 12 << 20, 8
 #: Text bytes that a task packs at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
+#: Words of packed strings that are counted together; cells beyond are dealt by window. A bucket of such windows.
+HOT_WORDS, HOT_WINDOWS = 1_500_000, 1 << 19
 
 _MIX = np.random.default_rng(20240502).integers(0, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A document is (key, tag): its id (null: the largest long) and the CRC-32 of its text.
-PACKED = "bucket int, docs binary, text binary, key long, tag long, start int, n int"
-MARKS = "key long, tag long, start int, n int"
+#: A document is (key, tag, tag2): its id (null: the largest long) and digests of its text.
+DOCUMENT = ["key", "tag", "tag2"]
+PACKED = "bucket int, docs binary, text binary, key long, tag long, tag2 long, start int, n int"
+MARKS = "key long, tag long, tag2 long, start int, n int"
 LAST = 2**63 - 1
 
 
@@ -103,43 +114,115 @@ def _smaller(a, ia, b, ib):
     return np.where(left, a, b), np.where(left, ia, ib)
 
 
-def _pack(pdf: pd.DataFrame, width: int, buckets: int) -> pd.DataFrame:
-    """Packed strings by bucket, and marks of super-k-mers that repeat inside the batch."""
-    docs: dict[int, list] = defaultdict(list)
+def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows ``key, tag, tag2, text`` of at most ``most`` bytes of text (a longer text stands alone)."""
+    held, size = [], 0
+
+    def frame():
+        return pd.DataFrame(held, columns=[*DOCUMENT, "text"])
+
+    for b in batches:
+        sizes = np.asarray(pc.binary_length(b["text"]), np.int64)
+        at = 0
+        while at < len(b):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most - size, "right")))
+            if held and size + sizes[at] > most:
+                yield frame()
+                held, size = [], 0
+                continue
+            part = b.slice(at, n)
+            held += zip(*(part[c].to_pylist() for c in (*DOCUMENT, "text")))
+            size += int(sizes[at:at + n].sum())
+            at += n
+    if held:
+        yield frame()
+
+
+def _cell_words(docs: pd.DataFrame, width: int, cells: int) -> pa.RecordBatch:
+    """Words of the super-k-mers of each cell."""
+    found = [super_kmers(words_of(text), width)[1:] for text in docs["text"]]
+    cell = np.concatenate([least % np.uint64(cells) for _, least in found])
+    at, which = np.unique(cell, return_inverse=True)
+    words = np.bincount(which, np.concatenate([count for count, _ in found]) + width - 1, len(at))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words.astype(np.int64))], ["cell", "words"])
+
+
+def _pack(docs: pd.DataFrame, width: int, buckets: int, hot: frozenset = frozenset(), hot_buckets: int = 1) -> pd.DataFrame:
+    """Packed strings by bucket, windows of hot cells by digest, and marks of what repeats inside the batch.
+
+    All columns but ``text`` together name a document.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    own: dict[int, list] = defaultdict(list)
     texts: dict[int, list[bytes]] = defaultdict(list)
-    seen: dict[bytes, tuple] = {}
+    seen: set[bytes] = set()
     marks = []
-    for key, tag, text in sorted(zip(pdf["key"].tolist(), pdf["tag"].tolist(), pdf["text"].tolist())):
+    cells = buckets * CELLS
+    for *doc, text in sorted(set(zip(*(docs[c].tolist() for c in (*names, "text"))))):
         words = words_of(text)
         first, count, least = super_kmers(words, width)
-        for f, c, b in zip(first.tolist(), count.tolist(), (least % np.uint64(buckets)).tolist()):
+        for f, c, cell in zip(first.tolist(), count.tolist(), (least % np.uint64(cells)).tolist()):
             s = b" ".join(words[f:f + c + width - 1])
-            at = (key, tag, f)
-            if (before := seen.setdefault(xxhash.xxh3_128_digest(s), at)) is at:
-                docs[b].append((*at, c))
-                texts[b].append(s)
-            elif before != at:
-                marks.append((*at, c))
+            if (digest := xxhash.xxh3_128_digest(s)) in seen:
+                marks.append((*doc, f, c))
+                continue
+            seen.add(digest)
+            if cell not in hot:
+                own[cell // CELLS].append((*doc, f, c, cell % CELLS))
+                texts[cell // CELLS].append(s)
+                continue
+            for at in range(f, f + c):
+                digest = xxhash.xxh3_128_digest(b" ".join(words[at:at + width])) + b"w"  # apart from those of strings
+                if digest in seen:
+                    marks.append((*doc, at, 1))
+                    continue
+                seen.add(digest)
+                bucket = buckets + int.from_bytes(digest[:8], "little") % hot_buckets
+                own[bucket].append((*doc, at, 1, 0))
+                texts[bucket].append(digest[:16])
+    del seen
     zip_ = zstandard.ZstdCompressor(level=3)
-    out = [(b, zip_.compress(np.array(docs[b], np.int64).T.tobytes()), zip_.compress(b"\n".join(texts[b])),
-            None, None, None, None) for b in docs]
+    out = []
+    for b in own:
+        data = b"".join(texts[b]) if b >= buckets else b"\n".join(texts[b])
+        out.append((b, zip_.compress(np.array(own[b], np.int64).T.tobytes()), zip_.compress(data), *[None] * len(names), None, None))
+        texts[b] = own[b] = None
     out += [(None, None, None, *m) for m in marks]
-    return pd.DataFrame(out, columns=["bucket", "docs", "text", "key", "tag", "start", "n"]).astype(
-        {"bucket": "Int32", "key": "Int64", "tag": "Int64", "start": "Int32", "n": "Int32"})
+    kinds = {"bucket": "Int32", "docs": object, "text": object, **{c: "Int64" for c in names}, "start": "Int32", "n": "Int32"}
+    # Typed column by column: a null among 64-bit numbers must not turn them into doubles.
+    return pd.DataFrame({c: pd.Series(v, dtype=k) for (c, k), v in zip(kinds.items(), zip(*out) if out else [[]] * len(kinds))})
 
 
-def _count_bucket(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Marks of every window of a bucket whose words also start earlier."""
-    unzip = zstandard.ZstdDecompressor()
-    docs = np.concatenate([np.frombuffer(unzip.decompress(d), np.int64).reshape(4, -1) for d in pdf["docs"]], axis=1)
-    words = [w for t in pdf["text"] for w in unzip.decompress(t).split()]
+def _marked(doc: np.ndarray, begins: np.ndarray, first: np.ndarray, first_begins: np.ndarray) -> np.ndarray:
+    """Which windows are not the first of their group (documents as rows of the columns that name them)."""
+    return (doc != first).any(0) | (begins != first_begins)
+
+
+def _runs(doc: np.ndarray, begins: np.ndarray, names: list[str]) -> pd.DataFrame:
+    """Marked windows as runs of neighbouring starts."""
+    run = np.lexsort((begins, *doc[::-1]))
+    doc, begins = doc[:, run], begins[run]
+    new = np.ones(len(begins), bool)
+    new[1:] = (doc[:, 1:] != doc[:, :-1]).any(0) | (begins[1:] != begins[:-1] + 1)
+    head = np.flatnonzero(new)
+    return pd.DataFrame({**dict(zip(names, doc[:, head])), "start": begins[head], "n": np.diff(np.append(head, len(begins)))})
+
+
+def _heads(new: np.ndarray) -> np.ndarray:
+    """The position at which each row's group starts; ``new`` tells the first row of each group."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _count_cell(docs: np.ndarray, strings: list[bytes], width: int, names: list[str]) -> pd.DataFrame:
+    """Marks of every window of packed strings whose words also start earlier."""
+    words = b" ".join(strings).split()
     number = dict.fromkeys(words)
     number = dict(zip(number, range(len(number))))
     ids = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
     del words, number
-    key, tag, start, count = docs
+    doc, start, count = docs[:-3], docs[-3], docs[-2]
     base = np.cumsum(count + width - 1) - (count + width - 1)  # of each super-k-mer's words in ids
-    order = np.lexsort((start, tag, key))
+    order = np.lexsort((start, *doc[::-1]))
     which = np.repeat(order, count[order])  # the super-k-mer of each window, windows in document order
     nth = np.arange(len(which)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
     at = base[which] + nth
@@ -147,61 +230,97 @@ def _count_bucket(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     by = np.argsort(h, kind="stable")
     equal = h[by][1:] == h[by][:-1]
     near = np.flatnonzero(np.concatenate((equal, [False])) | np.concatenate(([False], equal)))
-    if not len(near):
-        return pd.DataFrame([], columns=["key", "tag", "start", "n"]).astype("int64")
     by = by[near]
     # Word by word: windows of one hash stay together only where their words agree.
-    own = ids[at[by][:, None] + np.arange(width)]
-    group = np.cumsum(np.concatenate(([True], h[by][1:] != h[by][:-1])))
-    if np.any((own[1:] != own[:-1]).any(1) & (group[1:] == group[:-1])):
-        _, group = np.unique(own, axis=0, return_inverse=True)
+    group = np.cumsum(np.concatenate(([True], h[by][1:] != h[by][:-1])))[:len(by)]
+    differ = np.zeros(max(0, len(by) - 1), bool)
+    for k in range(width):
+        differ |= ids[at[by][1:] + k] != ids[at[by][:-1] + k]
+    if np.any(differ & (group[1:] == group[:-1])):
+        _, group = np.unique(ids[at[by][:, None] + np.arange(width)], axis=0, return_inverse=True)
         again = np.lexsort((by, group))
         by, group = by[again], group[again]
-    head = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(by)), 0))
-    first, w = by[head], which[by]
+    head = _heads(np.concatenate(([True], group[1:] != group[:-1]))[:len(by)])
+    w, first = which[by], which[by][head]
     begins = start[w] + nth[by]
-    later = ((key[w] != key[which[first]]) | (tag[w] != tag[which[first]])
-             | (begins != start[which[first]] + nth[first]))
-    w, begins = w[later], begins[later]
-    run = np.lexsort((begins, w))
-    w, begins = w[run], begins[run]
-    head = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (begins[1:] != begins[:-1] + 1))))[:len(w)]
-    return pd.DataFrame({"key": key[w[head]], "tag": tag[w[head]], "start": begins[head],
-                         "n": np.diff(np.append(head, len(w)))})
+    later = _marked(doc[:, w], begins, doc[:, first], begins[head])
+    return _runs(doc[:, w[later]], begins[later], names)
+
+
+def _count_digests(docs: np.ndarray, digests: bytes, names: list[str]) -> pd.DataFrame:
+    """Marks of every window whose digest also starts earlier."""
+    doc, start = docs[:-3], docs[-3]
+    d = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    by = np.lexsort((start, *doc[::-1], *d))
+    new = np.ones(len(by), bool)
+    new[1:] = (d[:, by[1:]] != d[:, by[:-1]]).any(0)
+    first = by[_heads(new)]
+    later = _marked(doc[:, by], start[by], doc[:, first], start[first])
+    return _runs(doc[:, by[later]], start[by[later]], names)
+
+
+def _count_bucket(pdf: pd.DataFrame, width: int, hot: bool = False) -> pd.DataFrame:
+    """Marks of a bucket as ``_pack`` gave it, of strings or of hot windows."""
+    unzip = zstandard.ZstdDecompressor()
+    names = [c for c in DOCUMENT if c in pdf.columns]
+    docs = np.concatenate([np.frombuffer(unzip.decompress(d), np.int64).reshape(len(names) + 3, -1) for d in pdf["docs"]], axis=1)
+    if hot:
+        return _count_digests(docs, b"".join(map(unzip.decompress, pdf["text"])), names)
+    strings = [s for t in pdf["text"] for s in unzip.decompress(t).split(b"\n")]
+    out = []
+    for cell in range(CELLS):
+        at = np.flatnonzero(docs[-1] == cell)
+        if len(at):
+            out.append(_count_cell(docs[:, at], [strings[k] for k in at.tolist()], width, names))
+    return pd.concat(out)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``key, tag, start, n``: runs of windows whose words also start earlier (documents as ``keyed`` gives them)."""
+    """``key, tag, tag2, start, n``: runs of windows whose words also start earlier (documents as ``keyed`` gives them)."""
     buckets = buckets_for(total_bytes(docs), BUCKET_BYTES)
+    cells = buckets * CELLS
+
+    def weigh(batches):
+        for b in _batches(batches, BATCH_BYTES):
+            yield _cell_words(b, width, cells)
+
+    # One cell in HOT_WORDS words of strings at most.
+    hot = (docs.mapInArrow(weigh, "cell int, words long").groupBy("cell").agg(F.sum("words").alias("words"))
+           .where(F.col("words") > HOT_WORDS).collect())
+    hot_cells = docs.sparkSession.sparkContext.broadcast(frozenset(r["cell"] for r in hot))
+    hot_buckets = buckets_for(sum(r["words"] for r in hot), HOT_WINDOWS)
 
     def pack(batches):
-        held, size = [], 0
-        for b in batches:
-            for at in range(0, len(b), 512):
-                held.append(b.iloc[at:at + 512])
-                size += held[-1]["text"].str.len().sum()
-                if size > BATCH_BYTES:
-                    yield _pack(pd.concat(held), width, buckets)
-                    held, size = [], 0
-        if held:
-            yield _pack(pd.concat(held), width, buckets)
-
-    packed = docs.mapInPandas(pack, PACKED)
+        for b in _batches(batches, BATCH_BYTES):
+            yield from pa.Table.from_pandas(_pack(b, width, buckets, hot_cells.value, hot_buckets), preserve_index=False,
+                                            schema=schema).to_batches()
+
+    binary, long, short = pa.binary(), pa.int64(), pa.int32()
+    schema = pa.schema([("bucket", short), ("docs", binary), ("text", binary), *((c, long) for c in DOCUMENT),
+                        ("start", short), ("n", short)])
+    packed = docs.mapInArrow(pack, PACKED)
     # Marks made on the spot pass through the same exchange, spread by their document.
-    dealt = packed.withColumn("slot", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("key", "tag"), F.lit(buckets))))
+    dealt = packed.withColumn("slot", F.coalesce("bucket", -1 - F.pmod(F.xxhash64(*DOCUMENT), F.lit(buckets))))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].isna().any():
-            return pdf[["key", "tag", "start", "n"]]
-        return _count_bucket(pdf, width)
+            return pdf[[*DOCUMENT, "start", "n"]]
+        return _count_bucket(pdf, width, pdf["bucket"].iat[0] >= buckets)
 
     return dealt.groupBy("slot").applyInPandas(count, MARKS)
 
 
+def document_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    """The columns that name a document."""
+    doc_id = doc_id.cast("long")
+    return {"key": F.coalesce(doc_id, F.lit(LAST)), "tag": F.xxhash64(text),
+            "tag2": F.when(doc_id.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.lit(0).cast("long"))}
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, tag, text`` with null texts empty."""
+    """``doc_id, key, tag, tag2, text`` with null texts empty."""
     text = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
-    return text.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.crc32("text").alias("tag"), "text")
+    return text.select("doc_id", *(c.alias(n) for n, c in document_key(F.col("doc_id"), F.col("text")).items()), "text")
 
 
 def covered(n: int, starts, counts, width: int) -> np.ndarray:
@@ -214,9 +333,9 @@ def covered(n: int, starts, counts, width: int) -> np.ndarray:
 
 def with_marks(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` (as ``keyed``) with ``starts`` and ``counts`` of the marked runs, null where there are none."""
-    marks = repeated_windows(docs.select("key", "tag", "text"), width).groupBy("key", "tag").agg(
+    marks = repeated_windows(docs.select(*DOCUMENT, "text"), width).groupBy(*DOCUMENT).agg(
         F.collect_list(F.struct("start", "n")).alias("marks"))
-    return docs.join(marks, ["key", "tag"], "left").withColumns(
+    return docs.join(marks, DOCUMENT, "left").withColumns(
         {"starts": F.col("marks.start"), "counts": F.col("marks.n")}).drop("marks")
 
 
@@ -246,10 +365,10 @@ def clean_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     white space before the second, and lines left empty go.
     """
     names = docs.columns
-    numbered = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)),
-                                 "__tag": F.crc32(text_column())})
-    marks = repeated_windows(numbered.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"),
-                                             text_column().alias("text")), width).groupBy("key", "tag").agg(
+    own = [f"__{c}" for c in DOCUMENT]
+    numbered = docs.withColumns({f"__{n}": c for n, c in document_key(F.col("doc_id"), text_column()).items()})
+    marks = repeated_windows(numbered.select(*(F.col(o).alias(c) for o, c in zip(own, DOCUMENT)), text_column().alias("text")),
+                             width).groupBy(*(F.col(c).alias(o) for o, c in zip(own, DOCUMENT))).agg(
         F.collect_list(F.struct("start", "n")).alias("__marks"))
 
     @F.pandas_udf("string")
@@ -257,7 +376,7 @@ def clean_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pd.Series([t if s is None else without(t, s, c, width) for t, s, c in zip(texts, starts, counts)],
                          dtype=object)
 
-    joined = numbered.join(marks.withColumnsRenamed({"key": "__key", "tag": "__tag"}), ["__key", "__tag"], "left")
+    joined = numbered.join(marks, own, "left")
     return joined.withColumn("text", cut("text", "__marks.start", "__marks.n")).select(*names)
 
 

@@ -206,6 +206,34 @@ def test_non_negative_risk_separates_planted_words():
     assert min(model.score("vile w1 w2"), model.score("a foul w7")) > 0.7 > 0.3 > model.score("w1 w2 w3")
 
 
+def test_small_groups_are_estimated_together():
+    """Forests of many groups at once connect what forests of single groups do, wherever batches are cut."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(120):
+        base, two = rng.integers(0, 256, minhash.MINIMA, dtype=np.uint8), rng.random() < 0.3
+        for _ in range(rng.choice([1, 2, 2, 3, 5, 16, 17, 40])):
+            s, k = base.copy(), rng.integers(0, 110)
+            s[rng.choice(minhash.MINIMA, k, replace=False)] = rng.integers(0, 256, k)
+            rows.append((g // 3, g % 3, g % 3, int(two and rng.random() < 0.5), len(rows), s.tobytes()))
+    df = pd.DataFrame(rows, columns=["key", "i", "j", "side", "doc_id", "sig"])
+
+    def linked(forests):
+        forest = minhash.Forest(len(df))
+        for f in forests:
+            for a, b in zip(f["u"], f["v"]):
+                forest.join(a, b)
+        return [forest.root(k) for k in range(len(df))]
+
+    want = linked(minhash._forest_of_estimates(g, 0.75) for _, g in df.groupby(["key", "i", "j"]))
+    assert len(set(want)) < len(df) - 300
+    for step in (1, 7, 100, len(df)):
+        assert linked(minhash._estimated_links((df.iloc[k:k + step] for k in range(0, len(df), step)), 0.75)) == want
+
+
 def check_removed(rows, docs):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == removed_windows(docs)
 
@@ -217,6 +245,31 @@ def test_repeated_windows(small, texts, monkeypatch):
     check_removed(substrings.remove_repeats(small).collect(), texts)
 
 
+def test_hot_cells_are_dealt_by_window(spark, small, texts, monkeypatch):
+    """A passage in a third of the rows, each copy between words of its own; cells over the bound are dealt by digest."""
+    import random
+
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = own(45)
+    rows = [(i, f"{own(rng.randint(0, 9))} {passage} {own(rng.randint(0, 9))}" if i % 3 == 0 else own(40)) for i in range(300)]
+    rows += [(1000 + i, (t + " ") * 2) for i, t in rows[:9]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 2000)
+    for most in (300, 0):
+        monkeypatch.setattr(substrings, "HOT_WORDS", most)
+        monkeypatch.setattr(substrings, "HOT_WINDOWS", 500)
+        check_removed(substrings.remove_repeats(docs).collect(), rows)
+    check_removed(substrings.remove_repeats(small).collect(), texts)
+
+
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    texts = [f"{k} " + " ".join(f"a{j}" for j in range(30)) + f" z{k}" for k in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    got = sorted(r["n_removed"] for r in substrings.remove_repeats(docs).collect())
+    assert got == [0] + [30] * 39
+
+
 def test_repeated_windows_with_equal_hashes(small, texts, monkeypatch):
     """Windows are told apart word by word even where their hashes agree."""
     import numpy as np
