@@ -6,7 +6,8 @@
 2. Equal sets are one class (digest of the whole set), represented by the smallest id.
 3. Classes that share a band key are candidates.  Inside a band group a kernel counts
    equal signature bytes, corrects the count for the chance agreement of 8 bits,
-   and returns a spanning forest of the pairs estimated at ``threshold - SLACK`` or more.
+   and returns a spanning forest of the pairs estimated at ``threshold - SLACK`` or more; small groups,
+   nearly all of them, are counted many at a time.
    Groups and, later, neighbourhoods of more than ``BLOCK`` classes are dealt out as
    pairs of blocks, so no task ever holds a whole group.
 4. The forest's components are neighbourhoods.  Only their members' texts are cut
@@ -43,6 +44,8 @@ BANDS, ROWS, MINIMA = 32, 5, 256
 SLACK = 0.10
 #: Classes of one group that a task holds at once (signatures; full sets); larger groups become pairs of blocks.
 BLOCK, FULL_BLOCK = 1024, 512
+#: Rows of a group up to which groups are estimated together.
+SMALL = 16
 
 _RNG = np.random.default_rng(20240501)
 _FACTOR = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -197,6 +200,58 @@ def _forest_of_estimates(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[u], "v": ids[v]})
 
 
+def _forests_of_small_groups(sig: np.ndarray, group: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of ``_forest_of_estimates`` for many neighbouring groups of at most ``SMALL`` rows at once."""
+    forest, u, v = Forest(len(sig)), [], []
+    one_block = np.bincount(group, side) == 0  # no second block: the rows meet each other
+    for apart in range(1, SMALL):
+        x = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(x):
+            break
+        x = x[one_block[group[x]] | (side[x] != side[x + apart])]
+        for at in range(0, len(x), 1 << 14):
+            a = x[at:at + (1 << 14)]
+            near = a[similarity((sig[a] == sig[a + apart]).sum(1)) >= least]
+            for i in near.tolist():
+                if forest.join(i, i + apart):
+                    u.append(i)
+                    v.append(i + apart)
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _estimated_links(batches, least: float) -> Iterator[pd.DataFrame]:
+    """Spanning forests of the groups (key, i, j), whose rows follow each other; small groups together, others one by one."""
+    def links(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        of = pdf[["key", "i", "j"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]).any(1))))
+        size = np.diff(np.append(starts, len(pdf)))
+        for a, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            yield _forest_of_estimates(pdf.iloc[a:a + n], least)
+        small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+        if len(small):
+            rows = pdf.iloc[small]
+            sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), MINIMA)
+            _, group = np.unique(np.repeat(np.arange(len(size)), size)[small], return_inverse=True)
+            ids = rows["doc_id"].to_numpy(np.int64)
+            u, v = _forests_of_small_groups(sig, group, rows["side"].to_numpy(), least)
+            yield pd.DataFrame({"u": ids[u], "v": ids[v]})
+
+    held: list[pd.DataFrame] = []  # the last group may go on in the next batch
+    for b in batches:
+        if not len(b):
+            continue
+        last = (b[["key", "i", "j"]] == b[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+        ends = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if held and (ends or (held[-1][["key", "i", "j"]].iloc[-1] != b[["key", "i", "j"]].iloc[0]).any()):
+            yield from links(pd.concat([*held, b.iloc[:ends]]))
+            held = []
+        elif ends:
+            yield from links(b.iloc[:ends])
+        held.append(b.iloc[ends:])
+    if held:
+        yield from links(pd.concat(held))
+
+
 def _forest_of_links(pdf: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
     """Links of 100 * intersection >= percent * union, as a spanning forest: best estimates are confirmed first."""
     ids = pdf["doc_id"].to_numpy(np.int64)
@@ -263,8 +318,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     banded = classes.select("doc_id", "digest", F.explode("bands").alias("key"))
     members = _block_pairs(banded, "key", banded.groupBy("key").agg(F.count("*").alias("n")), BLOCK)
-    near = (members.join(classes.select("digest", "sig"), "digest")
-            .groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest_of_estimates(pdf, least), "u long, v long"))
+    near = (members.join(classes.select("digest", "sig"), "digest").select("key", "i", "j", "side", "doc_id", "sig")
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInPandas(lambda batches: _estimated_links(batches, least), "u long, v long"))
     hoods = staged(components(near.distinct()), "neighbourhoods")
 
     confirmed = _confirm(docs, classes, hoods, least, percent)
