@@ -1,17 +1,18 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-1. Texts are split at the six ASCII white-space characters, which no token of a
-   word-level vocabulary crosses.  A block of consecutive rows (bounded by its bytes) lists each of its
+1. Spark splits texts at the six ASCII white-space characters, which no token of a
+   word-level vocabulary crosses.  A block of consecutive rows (bounded by its characters) lists each of its
    distinct words once, in one packed list for each word bucket.
 2. In a bucket the lists of all blocks meet: the union is the distinct-word table, whose words are encoded
-   once each by the library, and decoded once each by a join of ids to pieces.
-   Every block gets the entries of its own list back, in the list's order.
-3. Blocks and their entries are joined on the block: ids go back to each word's position.
+   once each by the library.  Every block gets its own list back with the ids.
+3. Blocks and their lists are joined on the block: the list's ids are joined with the table ``id, piece``, and ids and pieces go
+   back to each word's position.
 
 A word, however frequent, travels once for each block, so no bucket holds more than
 one entry for each block and word.  Nothing but the packed lists and the packed texts is shuffled.
-A block's name is a digest of its contents, so a block that is made again by another
-executor meets its entries or fails; it can't meet another's.
+A block's name is a digest of its rows.  A block that is made again of other rows (a lost executor, rows in another
+order) finds no list of its name, or lists of words it doesn't hold; words without an entry are encoded with the block, so
+the result is the same.
 
 Defined cases: null and empty texts have no ids (SHA-256 of the empty text); special strings in texts are
 handled as the library does; rows that occur twice are returned twice; rows with a null id are encoded like
@@ -25,9 +26,11 @@ import pickle
 import zlib
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import buckets_for, text_column, total_bytes
 from .tokens import encoder
 
-#: Text bytes of a block, and of the corpus for each word bucket.
+#: Characters of a block, and text bytes of the corpus for each word bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 LIST = "block binary, bucket int, words binary"
-ENTRIES = "block binary, bucket int, n binary, ids binary"
+ENTRIES = "block binary, bucket int, words binary, n binary, ids binary"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -46,65 +49,70 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def _blocks(batches):
-    """(name, doc ids, texts) of consecutive rows of at most BLOCK_BYTES characters; the name is a digest of both."""
-    ids, texts, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, pa.Table]]:
+    """Name and rows of each block: consecutive rows of at most ``most`` characters (a longer text stands alone)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
     def block():
-        name = hashlib.blake2b(pickle.dumps((ids, [(len(t), zlib.crc32(t.encode())) for t in texts])), digest_size=12)
-        return name.digest(), ids, texts
+        rows = pa.Table.from_batches(held)
+        figures = [rows[c].to_pylist() for c in ("doc_id", "chars", "crc")]
+        return hashlib.blake2b(pickle.dumps(figures), digest_size=12).digest(), rows
 
     for b in batches:
-        for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
-            if ids and size + len(text) > BLOCK_BYTES:
+        chars, at = b["chars"].to_numpy().astype(np.int64), 0
+        while at < len(chars):
+            n = int(np.searchsorted(np.cumsum(chars[at:]), most - size, "right"))
+            if not n and held:
                 yield block()
-                ids, texts, size = [], [], 0
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text)
-    if ids:
+                held, size = [], 0
+                continue
+            n = max(n, 1)
+            held.append(b.slice(at, n))
+            size += int(chars[at:at + n].sum())
+            at += n
+    if held:
         yield block()
 
 
-def _by_bucket(texts: list[str], buckets: int) -> dict[int, list[bytes]]:
-    """The distinct words of a block, sorted, by word bucket."""
-    distinct: set[bytes] = set()
-    for t in texts:
-        distinct.update(words_of(t))
-    out: dict[int, list[bytes]] = defaultdict(list)
-    for w in sorted(distinct):
-        out[zlib.crc32(w) % buckets].append(w)
-    return out
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
+def _rows(docs: DataFrame, payload: Column) -> DataFrame:
+    """``doc_id, chars, crc`` (which name a block) and the payload."""
+    text = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
+    return text.select("doc_id", F.char_length("text").alias("chars"), F.crc32("text").alias("crc"), payload.alias("payload"))
 
 
 def word_lists(docs: DataFrame, buckets: int) -> DataFrame:
     """Each block's distinct words, packed for each bucket."""
+    most = BLOCK_BYTES
+
     def lists(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
-        for name, _, texts in _blocks(batches):
-            own = _by_bucket(texts, buckets)
-            yield pd.DataFrame({"block": [name] * len(own), "bucket": list(own),
-                                "words": [zip_.compress(b"\n".join(w)) for w in own.values()]})
+        for name, rows in _blocks(batches, most):
+            own: dict[int, list[bytes]] = defaultdict(list)
+            for w in sorted(w.encode() for w in rows["payload"].combine_chunks().flatten().unique().to_pylist() if w):
+                own[zlib.crc32(w) % buckets].append(w)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(own), pa.binary()), pa.array(list(own), pa.int32()),
+                 pa.array([zip_.compress(b"\n".join(w)) for w in own.values()], pa.binary())], ["block", "bucket", "words"])
 
-    return _rows(docs).mapInPandas(lists, LIST)
+    return _rows(docs, F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).mapInArrow(lists, LIST)
 
 
 def packed_blocks(docs: DataFrame) -> DataFrame:
     """Each block's rows as one compressed value."""
+    most = BLOCK_BYTES
+
     def pack(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
-        for name, ids, texts in _blocks(batches):
-            yield pd.DataFrame({"block": [name], "rows": [zip_.compress(pickle.dumps((ids, texts)))]})
+        for name, rows in _blocks(batches, most):
+            data = zip_.compress(pickle.dumps((rows["doc_id"].to_pylist(), rows["payload"].to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([data], pa.binary())], ["block", "rows"])
 
-    return _rows(docs).mapInPandas(pack, "block binary, rows binary")
+    return _rows(docs, F.col("text")).mapInArrow(pack, "block binary, rows binary")
 
 
 def encoded_lists(lists: DataFrame, vocabulary: str) -> DataFrame:
-    """The distinct-word table of each bucket, returned to every block in the order of its own list."""
+    """The distinct-word table of each bucket, returned to every block with its own list."""
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         zip_, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         own = [unzip.decompress(w).split(b"\n") for w in pdf["words"]]
@@ -115,21 +123,37 @@ def encoded_lists(lists: DataFrame, vocabulary: str) -> DataFrame:
             found = [table[w] for w in words]
             n.append(zip_.compress(array("I", [len(x) // 4 for x in found]).tobytes()))
             ids.append(zip_.compress(b"".join(found)))
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "n": n, "ids": ids})
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "words": pdf["words"], "n": n, "ids": ids})
 
     return lists.groupBy("bucket").applyInPandas(encode, ENTRIES)
 
 
-def _entries(pdf: pd.DataFrame, own: dict[int, list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a block with the number of ids of each and all ids, joined by bucket and place in the list."""
+def _entries(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of a block with the number of ids of each and all ids."""
     unzip = zstandard.ZstdDecompressor()
-    got = {b: (np.frombuffer(unzip.decompress(n), np.uint32), np.frombuffer(unzip.decompress(i), np.uint32))
-           for b, n, i in zip(pdf["bucket"], pdf["n"], pdf["ids"])}
-    if any(b not in got or len(got[b][0]) != len(w) for b, w in own.items()):
-        raise RuntimeError("a block has no entries of its own words")
-    words = [w for b in own for w in own[b]]
-    return (words, np.concatenate([got[b][0] for b in own] or [np.empty(0, np.uint32)]),
-            np.concatenate([got[b][1] for b in own] or [np.empty(0, np.uint32)]))
+    words = [w for packed in pdf["words"] for w in unzip.decompress(packed).split(b"\n")]
+    n, ids = (np.frombuffer(b"".join(map(unzip.decompress, pdf[c])), np.uint32) for c in ("n", "ids"))
+    return words, n, ids
+
+
+def _completed(words: list[bytes], counts: np.ndarray, ids: np.ndarray, texts: list[str], vocabulary: str) -> tuple:
+    """The entries with those of the texts' other words added."""
+    more = sorted(set().union(*map(words_of, texts)).difference(words))
+    found = encoder(vocabulary).encode([w.decode() for w in more])
+    return (words + more, np.concatenate([counts, np.array([len(x) // 4 for x in found], np.uint32)]),
+            np.concatenate([ids, np.frombuffer(b"".join(found), np.uint32)]))
+
+
+def _joined(parts: list[str], counts: np.ndarray) -> Iterator[bytes]:
+    """Each word's parts joined by one space; ``parts`` holds one string for each id, in order."""
+    ends = np.cumsum(counts.astype(np.int64)).tolist()
+    return (" ".join(parts[b - n:b]).encode() for n, b in zip(counts.tolist(), ends))
+
+
+def joined_pieces(ids: np.ndarray, table: pa.Table) -> list[str]:
+    """The piece of every id, in order: an equi-join of positions with ``table(id, piece)``."""
+    at = pa.table({"pos": np.arange(len(ids)), "id": ids.astype(np.int64)})
+    return at.join(table, "id").sort_by("pos")["piece"].to_pylist()
 
 
 def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -140,29 +164,28 @@ def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
 
 
 def with_positions(docs: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
-    """``finish(doc_ids, word lists, words, counts, ids)`` of every block, after the join back by position."""
+    """``finish(doc_ids, texts, words, counts, ids)`` of every block, after the join back by position."""
     buckets = buckets_for(total_bytes(docs), BUCKET_BYTES)
     entries = encoded_lists(word_lists(docs, buckets), vocabulary)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for packed in left["rows"]:
-            ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
-            out.append(finish(ids, [words_of(t) for t in texts], *_entries(right, _by_bucket(texts, buckets))))
-        if not out:
-            raise RuntimeError("entries without their block")
-        return pd.concat(out).astype({"doc_id": "Int64"})
+        if len(left):  # else lists of a block that was made again of other rows
+            found = _entries(right)
+            for packed in left["rows"]:
+                ids, texts = pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+                try:
+                    rows = finish(ids, texts, *found)
+                except KeyError:  # a word without an entry
+                    rows = finish(ids, texts, *_completed(*found, texts, vocabulary))
+                out.append(rows.assign(doc_id=pd.array(ids, "Int64")))
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names, dtype=object)
 
     return (packed_blocks(docs).groupBy("block").cogroup(entries.groupBy("block"))
             .applyInPandas(join, schema))
 
 
-def _joined(words: list[bytes], counts: np.ndarray, parts: list[str]) -> dict[bytes, str]:
-    """Each word's parts joined by one space; ``parts`` holds one string for each id, in order."""
-    ends = np.cumsum(counts.astype(np.int64)).tolist()
-    return {w: " ".join(parts[b - int(n):b]) for w, n, b in zip(words, counts.tolist(), ends)}
-
-
 def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row.
 
@@ -170,34 +193,30 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     which words inherit, so each distinct word of a block is joined to its pieces once.
     """
     spark = docs.sparkSession
-    table = pieces(spark, vocabulary)  # bounded by the tokenizer file, whatever the corpus
-    piece_of = spark.sparkContext.broadcast({r["id"]: r["piece"] for r in table.collect()})
+    # Bounded by the tokenizer file, whatever the corpus.
+    table = spark.sparkContext.broadcast(pieces(spark, vocabulary).toArrow())
 
     def finish(doc_ids, texts, words, counts, ids):
-        numbers = ids.tolist()
-        as_ids = _joined(words, counts, [str(i) for i in numbers])
-        as_pieces = _joined(words, counts, list(map(piece_of.value.__getitem__, numbers)))
-        n = dict(zip(words, counts.tolist()))
+        as_ids = dict(zip(words, _joined(list(map(str, ids.tolist())), counts)))
+        as_pieces = dict(zip(words, _joined(joined_pieces(ids, table.value), counts)))
         rows = []
-        for doc_id, own in zip(doc_ids, texts):
-            rows.append((doc_id, sum(map(n.__getitem__, own)), _sha(own, as_ids), _sha(own, as_pieces)))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for text in texts:
+            own = words_of(text)
+            numbers, parts = (b" ".join(filter(None, map(of.__getitem__, own))) for of in (as_ids, as_pieces))
+            rows.append((numbers.count(b" ") + 1 if numbers else 0, hashlib.sha256(numbers).hexdigest(),
+                         hashlib.sha256(parts).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return with_positions(docs, vocabulary, finish,
                           "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _sha(own: list[bytes], of: dict[bytes, str]) -> str:
-    return hashlib.sha256(" ".join([x for x in map(of.__getitem__, own) if x]).encode()).hexdigest()
-
-
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids`` (array of int) of every row."""
     def finish(doc_ids, texts, words, counts, ids):
-        ends = np.cumsum(counts.astype(np.int64)).tolist()
-        of = {w: ids[b - int(n):b] for w, n, b in zip(words, counts.tolist(), ends)}
-        return pd.DataFrame({"doc_id": doc_ids, "ids": [
-            np.concatenate([of[w] for w in own]).astype(np.int32) if own else np.empty(0, np.int32) for own in texts]})
+        of = dict(zip(words, np.split(ids, np.cumsum(counts.astype(np.int64))[:-1])))
+        own = [list(map(of.__getitem__, words_of(t))) for t in texts]
+        return pd.DataFrame({"ids": [np.concatenate(w).astype(np.int32) if w else np.empty(0, np.int32) for w in own]})
 
     return with_positions(docs, vocabulary, finish, "doc_id long, ids array<int>")
 

@@ -149,6 +149,14 @@ def test_word_table(small, texts, odd, empty, monkeypatch):
     check_words(word_table.encode_and_decode(small, WORD).collect(), texts)
 
 
+def test_word_table_of_blocks_made_again(small, texts, monkeypatch):
+    """Lists of other rows than the blocks' (as after a lost executor) change nothing: words without an entry are encoded."""
+    lists = word_table.word_lists
+    monkeypatch.setattr(word_table, "BLOCK_BYTES", 200_000)
+    monkeypatch.setattr(word_table, "word_lists", lambda docs, n: lists(docs.where("doc_id % 3 > 0").repartition(3, "doc_id"), n))
+    check_words(word_table.encode_and_decode(small, WORD).collect(), texts)
+
+
 def test_word_table_encode_then_decode(spark, odd):
     lib = Tokenizer.from_file(WORD)
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
