@@ -19,7 +19,7 @@ HEADLINE = [
     "embed_hashed",          # hashed embedding of every chunk
     "retrieve_benchmark",    # flagship: corpus -> chunks -> embed -> exact top-50 per benchmark text
     "knn_exact",             # every vector's 50 nearest
-    "knn_approx",            # IVF, 4 of 16 cells probed
+    "knn_approx",            # product-quantised codes, lists chosen by measured recall
     "rebuild_collection",    # records -> first per id -> bucketed Parquet collection
     "insert_if_absent",      # keyed insert, replayed
     "hybrid_retrieve",       # exact-title leg + vector leg, cut at 52

@@ -19,6 +19,7 @@ from ..operators import chunking as CH
 from ..operators import embedding as EM
 from ..operators import collection as CO
 from ..operators import knn as KNN
+from ..operators import quantize as PQ
 from . import fixtures as FX
 from . import oracle as O
 
@@ -895,8 +896,36 @@ def _cells_of(spark, sf_dir):
     return emb.select(F.col("vec_id").alias("query_id"), "embedding"), spark.read.parquet(path), cents
 
 
+def _coded(spark, sf_dir):
+    """``(questions, items stored with their codes, codebooks)`` of the embeddings."""
+    from ..session import scratch_path
+    emb = FX.table(spark, sf_dir, "embeddings")
+    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
+    books = PQ.train_codebooks(items, id_col="item_id")
+    path = scratch_path(spark, "coded")
+    PQ.with_codes(items, books).write.parquet(path)
+    return emb.select(F.col("vec_id").alias("query_id"), "embedding"), spark.read.parquet(path), books
+
+
 @register("knn_approx")
 def q_knn_approx(spark, sf_dir):
+    """Product-quantised search; lists as long as a measured recall of 0.9 or more takes."""
+    queries, coded, books = _coded(spark, sf_dir)
+    length = PQ.choose_list(queries, coded, books, k=P.TOP_K, item_id="item_id")
+    hits = PQ.knn_quantized(queries, coded, books, k=P.TOP_K, list_length=length, item_id="item_id")
+    return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
+@register("knn_approx_whole_list", ORACLE_SQL["knn_exact"])
+def q_knn_approx_whole_list(spark, sf_dir):
+    """Product-quantised search with lists as long as the table: the same rows as the exact search."""
+    queries, coded, books = _coded(spark, sf_dir)
+    hits = PQ.knn_quantized(queries, coded, books, k=P.TOP_K, list_length=coded.count(), item_id="item_id")
+    return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
+@register("knn_cells")
+def q_knn_cells(spark, sf_dir):
     """As many cells as a measured recall of 0.9 or more takes."""
     queries, cells, cents = _cells_of(spark, sf_dir)
     nprobe = KNN.choose_nprobe(queries, cells, cents, k=P.TOP_K, item_id="item_id")
