@@ -195,10 +195,10 @@ def fuzzy_title_match(names: DataFrame, title_df: DataFrame, threshold: float =
         hi = F.ceil(la * (1 + e) / (1 - e)).cast("int")
         nq = (n.withColumn("low", F.lower(F.coalesce("name", F.lit(""))))
               .withColumn("_lb", F.explode(F.sequence(lo, hi)))
-              .withColumn("_qb", F.pmod(F.xxhash64("name_id"), F.lit(qb)))
+              .withColumn("_qb", F.pmod(F.xxhash64("name_id"), F.lit(qb)).cast("int"))
               .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
         tc = (t.withColumn("_lb", F.length("low"))
-              .withColumn("_cb", F.pmod(F.xxhash64("title"), F.lit(cb)))
+              .withColumn("_cb", F.pmod(F.xxhash64("title"), F.lit(cb)).cast("int"))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
 
         def block(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
