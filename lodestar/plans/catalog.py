@@ -19,6 +19,7 @@ from ..operators import chunking as CH
 from ..operators import embedding as EM
 from ..operators import collection as CO
 from ..operators import knn as KNN
+from ..operators import pivots as PV
 from ..operators import quantize as PQ
 from . import fixtures as FX
 from . import oracle as O
@@ -216,6 +217,16 @@ def q_knn_exact(spark, sf_dir):
     return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
 
 
+@register("knn_join", ORACLE_SQL["knn_exact"])
+def q_knn_join(spark, sf_dir):
+    """The exact search for query tables beyond the broadcast bound: pivots and the triangle inequality."""
+    emb = FX.table(spark, sf_dir, "embeddings")
+    queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
+    hits = PV.knn_join(queries, items, k=P.TOP_K, item_id="item_id")
+    return hits.select("query_id", "item_id", r6("distance").alias("distance"), "rank")
+
+
 # ---------------------------------------------------------------------------
 # Metadata and validation
 # ---------------------------------------------------------------------------
