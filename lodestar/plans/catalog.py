@@ -21,6 +21,7 @@ from ..operators import collection as CO
 from ..operators import knn as KNN
 from ..operators import pivots as PV
 from ..operators import quantize as PQ
+from ..operators import versions as VE
 from . import fixtures as FX
 from . import oracle as O
 
@@ -429,6 +430,30 @@ def q_insert_if_absent(spark, sf_dir):
     return back.select("chunk_id", "doc_id", "metadata.embedding_model")
 
 
+@register("upsert_collection", f"""
+WITH {O.shared_collection_ctes()},
+ex AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY year, source, chunk_index, doc_id) AS rn
+  FROM cks WHERE doc_id % 2 = 0) WHERE rn = 1),
+up AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY year, source, chunk_index, doc_id) AS rn
+  FROM cks WHERE doc_id % 3 <> 0) WHERE rn = 1)
+SELECT chunk_id, doc_id, 'v1' AS embedding_model FROM up
+UNION ALL
+SELECT chunk_id, doc_id, 'v0' AS embedding_model FROM ex WHERE chunk_id NOT IN (SELECT chunk_id FROM up)
+""")
+def q_upsert_collection(spark, sf_dir):
+    from ..session import scratch_path
+    path = scratch_path(spark, "collection")
+    emb = staged(spark, EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None), "embedded-batch")
+    stored = CO.to_records(emb.where(F.col("doc_id") % 2 == 0).withColumn("embedding_model", F.lit("v0")))
+    batch = CO.to_records(emb.where(F.col("doc_id") % 3 != 0).withColumn("embedding_model", F.lit("v1")))
+    VE.rebuild(spark, path, stored, order=COLL_ORDER)
+    VE.upsert(spark, path, batch, order=COLL_ORDER)
+    VE.upsert(spark, path, batch, order=COLL_ORDER)  # the same records again change nothing
+    return VE.read_version(spark, path).select("chunk_id", "doc_id", "metadata.embedding_model")
+
+
 @register("list_titles", f"""
 WITH {O.corpus_ctes(O.SHARED_TITLE)}
 SELECT DISTINCT coalesce(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE title END, 'Unknown') AS title FROM docs
