@@ -9,7 +9,9 @@ the tightest gap.
 
 Pieces of a group of bounded size are placed by one task; groups hold a random share of
 all pieces, so every group sees the same mix of lengths.  Sequences left
-with a gap are then opened again and their pieces placed anew by the same rule.
+with a gap are then opened again and their pieces placed anew by the same rule.  The rule keeps gaps
+of all sizes at hand; lengths that few others fit leave many of them unused.  So a closing step empties the
+sequences that still have a gap, places their pieces longest first into the tightest gap, and stands if it needs fewer sequences.
 
 Defined cases: null text is the empty text (one piece, the end id alone); a document longer
 than ``capacity`` is cut into pieces of ``capacity``, the last may be shorter;
@@ -104,9 +106,44 @@ def place_all(lengths: np.ndarray, capacity: int, rounds: int = 3) -> tuple[np.n
     return sequence, offset
 
 
+def place_tightest(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each length: in the given order, each to the tightest gap that holds it."""
+    at_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
+    gaps, made = 0, 0  # bit g of gaps: a sequence with the gap g is open
+    sequence = np.empty(len(lengths), np.int64)
+    offset = np.empty(len(lengths), np.int64)
+    for k, s in enumerate(lengths.tolist()):
+        fitting = gaps >> s
+        if fitting:
+            g = s + (fitting & -fitting).bit_length() - 1
+            b = at_gap[g].pop()
+            if not at_gap[g]:
+                gaps ^= 1 << g
+        else:
+            g, b, made = capacity, made, made + 1
+        sequence[k], offset[k] = b, capacity - g
+        if g > s:
+            at_gap[g - s].append(b)
+            gaps |= 1 << (g - s)
+    return sequence, offset
+
+
+def close_gaps(lengths: np.ndarray, sequence: np.ndarray, offset: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of sequences with a gap (longest first) placed by tightest fit, if that needs fewer sequences."""
+    fill = np.bincount(sequence, weights=lengths)
+    again = np.flatnonzero(fill[sequence] < capacity)
+    if len(again):
+        s, o = place_tightest(lengths[again], capacity)
+        left = np.unique(sequence[again])
+        if s.max() + 1 < len(left):
+            sequence[again], offset[again] = left[s], o
+    return sequence, offset
+
+
 def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-    sequence, offset = place_all(pdf["length"].to_numpy(np.int64), capacity)
+    lengths = pdf["length"].to_numpy(np.int64)
+    sequence, offset = close_gaps(lengths, *place_all(lengths, capacity), capacity)
     out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "Int64"})
     return out.assign(sequence_id=(pdf["group"].to_numpy(np.int64) << 32) + sequence, offset=offset)
 
@@ -115,7 +152,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     """Place pieces (``PIECES`` columns); adds ``sequence_id`` and a gapless ``offset`` from 0."""
     held = staged(pieces, "pieces")
     groups = buckets_for(held.count(), group)
-    dealt = held.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # The stored row's own number deals equal rows (null ids, empty texts) to all groups.
+    dealt = held.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()),
+                                            F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(lambda pdf: _pack_group(pdf, capacity), PLACED)
 
 
