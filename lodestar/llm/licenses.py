@@ -4,7 +4,8 @@ A candidate block is a run of lines that hold a licensing cue.  Equal blocks are
 alone and with every template as zstandard raw dictionary; the share of bytes that a
 template saves ranks the templates.  The best ``RANKED`` are confirmed by the exact wording: words of block and
 template are aligned, and the template with the most matched words and the fewest differences wins if at
-least ``LEAST_MATCH`` of the shorter text's words match.  The differing words are returned.
+least ``LEAST_MATCH`` of the shorter text's words match.  A template is no winner if a differing word names a license or a
+version ("lesser", "affero", "3"): the text is then another license's, or none the templates know.  The differing words are returned.
 
 A block that holds other words too is cut into sentences, and the sentences around
 each cue, alone and in runs of up to the longest template's length, are judged by the same two steps; so are, in a
@@ -34,11 +35,16 @@ from .common import text_column
 
 #: The usual notices of well-known licenses, by their short identifiers.
 TEMPLATES = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+                "your option) any later version. This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
                   "compliance with the License. You may obtain a copy of the License at "
                   "http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
                     "provided that the following conditions are met",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+               "this work. This work is licensed under CC0 1.0 Universal.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. "
                  "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. "
@@ -51,22 +57,42 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
                "option) any later version. This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+           "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+                "(at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                "(at your option) any later version. This work is licensed under the GNU Lesser General Public License, "
+                "version 2.1.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                "(at your option) any later version. This work is licensed under the GNU Lesser General Public License, "
+                "version 3.",
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of "
            "this software and associated documentation files, to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                 "publish, use, compile, sell, or distribute this software",
 }
+#: Words that tell one license from another, beside the identifiers and version numbers.
+NAMES = frozenset("affero apache attribution attribution-noncommercial attribution-sharealike attribution-noderivatives bsd by by-nc "
+                  "by-nc-nd by-nc-sa by-nd by-sa cc0 creative gpl isc lesser lgpl mit mozilla mpl noncommercial "
+                  "noderivatives sharealike unlicense".split())
+_VERSION_NUMBER = re.compile(r"v?\d{1,2}(\.\d{1,2})*")
 #: Lower-case strings of which a candidate line holds one.
 CUES = ("licen", "copyright", "redistribut", "permission is", "rights reserved", "public domain", "spdx", "warrant")
-RANKED, LEAST_SAVING, LEAST_MATCH = 3, 0.25, 0.75
+RANKED, LEAST_SAVING, LEAST_MATCH = 5, 0.25, 0.75
 
 _WORD = re.compile(r"[^\s\"'();:,]+")
 _SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?](?=\s)|[^\n]*)")
 
 
 def wording(text: str) -> list[str]:
-    """Lower-case words without quotes, brackets and closing marks."""
-    return [w for w in (x.rstrip(".") for x in _WORD.findall(text.lower())) if w]
+    """Lower-case words without quotes, brackets and closing marks; comment signs are no words."""
+    return [w for w in (x.rstrip(".") for x in _WORD.findall(text.lower())) if any(map(str.isalnum, w))]
 
 
 def _has_cue(text):
@@ -86,14 +112,21 @@ def candidate_blocks(docs: DataFrame) -> DataFrame:
         "block", F.btrim("block", F.lit("\n")))
 
 
+def with_identifiers(templates: dict[str, str]) -> dict[str, str]:
+    """Templates with one more line, as a license may also be named by its short identifier."""
+    return {name: f"{text}\nSPDX-License-Identifier: {name}" for name, text in templates.items()}
+
+
 class Scanner:
     """Compressors with one raw dictionary each."""
 
     def __init__(self, templates: dict[str, str]):
+        templates = with_identifiers(templates)
         self.alone = self._compressor(None)
         self.names = sorted(templates)
         self.given = {n: self._compressor(templates[n].encode()) for n in self.names}
         self.words = {n: wording(templates[n]) for n in self.names}
+        self.tell = NAMES | {w for n in self.names for w in wording(n)}
         self.sentences = [wording(x) for n in self.names for x in _SENTENCE.findall(templates[n])]
         self.longest = max(map(len, self.words.values()), default=0)
 
@@ -131,6 +164,8 @@ class Scanner:
             n = len(wording(block))
             if not n or matched < LEAST_MATCH * min(n, len(self.words[name])):
                 continue
+            if any(w in self.tell or _VERSION_NUMBER.fullmatch(w) for w in extra + missing):
+                continue
             rank = (len(extra) + len(missing), -matched, -saving, name)
             if best is None or rank < best[0]:
                 best = rank, (name, round(saving, 6), n, matched, extra, missing)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from brute import near_components, removed_windows, words
 from llm_cases import NEAR, ROWS
+from pyspark.sql import functions as F
 
 from lodestar.llm import components, licenses, minhash, quality, substrings, toxicity
 from lodestar.llm.common import table
@@ -92,6 +93,60 @@ def test_license_notices_inside_long_lines(spark, n):
         assert {(1, "Apache-2.0", notice), (4, "GPL-3.0", gpl), (6, "MPL-2.0", mpl)} <= set(got)
 
 
+def test_license_names_and_versions_decide(spark):
+    general = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License " \
+              "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    rows = [(1, general.format("This library", "Lesser ", 3)), (2, general.format("This program", "Affero ", 3)),
+            (3, general.format("This program", "", 3)), (4, general.format("This program", "", 2)),
+            (5, general.format("This program", "Lesser ", "2.1")), (6, general.format("Foo", "", 3)),
+            (7, general.format("This program", "", 4)), (8, general.format("This program", "Artistic ", 3)),
+            (9, "# SPDX-License-Identifier: MIT"), (10, "SPDX-License-Identifier: LGPL-2.1"),
+            (11, "SPDX-License-Identifier: Zlib"), (12, licenses.TEMPLATES["ISC"]),
+            (13, licenses.TEMPLATES["Unlicense"]),
+            (14, "This work is licensed under the GNU General Public License, version 4."),
+            (15, "Licensed under CC BY-ND 4.0."), (16, "This work is licensed under CC0 1.0 Universal.")]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert got == {1: ["LGPL-3.0"], 2: ["AGPL-3.0"], 3: ["GPL-3.0"], 4: ["GPL-2.0"], 5: ["LGPL-2.1"], 6: ["GPL-3.0"],
+                   8: ["GPL-3.0"], 9: ["MIT"], 10: ["LGPL-2.1"], 12: ["ISC"], 13: ["Unlicense"], 16: ["CC0-1.0"]}
+
+
+def brute_notices(text, templates):
+    """Every run of words of every template, looked for in every run of the text's words: exact notices alone."""
+    own, found = licenses.wording(text), set()
+    for name, template in templates.items():
+        for sentence in licenses._SENTENCE.findall(template):
+            words = licenses.wording(sentence)
+            if any(own[k:k + len(words)] == words for k in range(len(own) - len(words) + 1)):
+                found.add((name, tuple(words)))
+    return found
+
+
+def test_license_scan_finds_each_sentence_of_each_template(spark):
+    templates = licenses.with_identifiers(licenses.TEMPLATES)
+    sentences = [(n, x) for n, t in sorted(templates.items()) for x in licenses._SENTENCE.findall(t)
+                 if any(c in x.lower() for c in licenses.CUES) and len(licenses.wording(x)) >= 2]
+    prose = "Some plain words of a story go here, and they are long enough to hide a notice in."
+    rows = [(k, f"{prose}\n{x}\n{prose}") for k, (_, x) in enumerate(sentences)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        may = {n for n, words in brute_notices(text, templates) if list(words) == licenses.wording(sentences[k][1])}
+        assert got.get(k) in may, (sentences[k], got.get(k))
+
+
+def test_license_scan_of_odd_rows(spark, odd):
+    assert licenses.scan(odd).select("doc_id", "license").collect() is not None
+    notice = "Released under the MIT License."
+    rows = [(None, notice, "a"), (1, None, "b"), (2, "", "c"), (3, notice, "d"), (3, notice, "d"),
+            (4, "words " * 60_000 + "\n" + notice, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").withColumn("digest", F.lit(1)).withColumn(
+        "license", F.lit("own"))
+    out = licenses.scan(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["license"], r["block"]) for r in out) == [
+        (i, "MIT", notice) for i in (-1, 3, 3, 4)]
+
+
 def test_license_scan_finds_every_notice(small, texts):
     notice = {i for i, t in texts for x in (t or "").split("\n") if "icensed under" in x or "under the MIT License" in x}
     assert {r["doc_id"] for r in licenses.scan(small).collect()} == notice
