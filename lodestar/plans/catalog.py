@@ -994,7 +994,7 @@ def q_ingest_stream(spark, sf_dir):
     from ..session import scratch_path
     from .. import streaming as ST
     schema = FX.table(spark, sf_dir, "documents").schema
-    stream = ST.file_stream(spark, sf_dir, schema, glob="documents.parquet")
+    stream = ST.table_stream(spark, FX.table_path(sf_dir, "documents"), schema)
     path, ckpt = scratch_path(spark, "collection"), scratch_path(spark, "ckpt-ingest")
     q = ST.ingest_stream(spark, stream, _prepare_shared, path, ckpt, order=COLL_ORDER)
     q.awaitTermination()
@@ -1009,7 +1009,7 @@ def q_dedup_stream(spark, sf_dir):
     from ..session import scratch_path
     from .. import streaming as ST
     schema = FX.table(spark, sf_dir, "documents").schema
-    stream = ST.file_stream(spark, sf_dir, schema, glob="documents.parquet").select(
+    stream = ST.table_stream(spark, FX.table_path(sf_dir, "documents"), schema).select(
         "doc_id", F.md5("text").alias("text_key"))
     target, ckpt = scratch_path(spark, "dedup"), scratch_path(spark, "ckpt-dedup")
     ST.dedup_stream(spark, stream, "text_key", ["doc_id"], target, ckpt).awaitTermination()
@@ -1025,7 +1025,7 @@ def q_query_stream(spark, sf_dir):
     coll_path = scratch_path(spark, "collection")
     CO.rebuild_collection(spark, coll_path, shared_collection(spark, sf_dir), order=COLL_ORDER)
     schema = FX.table(spark, sf_dir, "benchmark").schema
-    raw = ST.file_stream(spark, sf_dir, schema, glob="benchmark.parquet")
+    raw = ST.table_stream(spark, FX.table_path(sf_dir, "benchmark"), schema)
     qs = raw.select(F.col("item_id").alias("query_id"), TX.py_strip(FX.composed_question()).alias("query")) \
         .where(F.col("query") != "")
 

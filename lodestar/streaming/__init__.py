@@ -35,6 +35,15 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", gl
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of its files, whether ``path`` is one file or a folder of part files.
+
+    A stream takes a plain path for a folder and refuses a file; a pattern (the last letter in brackets) finds either.
+    """
+    path = path.rstrip("/")
+    return file_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, max_files_per_trigger=max_files_per_trigger)
+
+
 def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

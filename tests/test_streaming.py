@@ -28,3 +28,19 @@ def test_ingest_restart_and_new_file(spark, tmp_path):
     assert len(ids) == len(set(ids))  # insert-if-absent: no id twice
     batch = catalog.shared_collection(spark, SMALL).select("chunk_id")
     assert {r[0] for r in batch.collect()} == set(ids)  # same ids as the batch rebuild
+
+
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string")
+    folder = tmp_path / "many" / "documents.parquet"
+    docs.repartition(4).write.parquet(str(folder))
+    one = tmp_path / "one"
+    docs.coalesce(1).write.parquet(str(tmp_path / "staged"))
+    one.mkdir()
+    (one / "documents.parquet").write_bytes(next((tmp_path / "staged").glob("part-*.parquet")).read_bytes())
+    for name, sf_dir in (("many", tmp_path / "many"), ("one", one)):
+        stream = ST.table_stream(spark, FX.table_path(str(sf_dir), "documents"), docs.schema)
+        target = str(tmp_path / f"dedup-{name}")
+        ST.dedup_stream(spark, stream, "text", ["doc_id"], target, str(tmp_path / f"ckpt-{name}")).awaitTermination()
+        assert sorted(tuple(r) for r in spark.read.parquet(target).select("text", "doc_id").collect()) == \
+            [(f"text {k}", k) for k in range(7)]
