@@ -1,6 +1,7 @@
 """Paths beyond the broadcast bound, on as many shuffle partitions as the session asks for."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,33 @@ def test_fuzzy_title_blocks_meet(partitioned, monkeypatch):
     rows = lambda bound: sorted((r["name_id"], r["title"]) for r in FZ.fuzzy_title_match(
         names, titles, broadcast_names=bound).collect())
     assert rows(0) == rows(1000) == [(k, f"report number {k:04d} of the year") for k in range(0, 120, 2)]
+
+
+def test_a_loose_bound_lets_few_rows_in(monkeypatch):
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(40, 6)), np.repeat(rng.normal(size=(1500, 6)), 2, axis=0)
+    items = pd.DataFrame({"item_id": rng.permutation(len(x)), "embedding": list(x)})
+    merged = []
+    merge = KNN._TopK._merge
+    monkeypatch.setattr(KNN._TopK, "_merge", lambda self, *a: (merged.append(len(a[2])), merge(self, *a)))
+
+    def best(bound):
+        top = KNN._TopK(5, np.arange(40), q, "query_id", "item_id", bound=bound)
+        top.add(items, "embedding", [])
+        return top.result(["query_id", "item_id", "distance"]).sort_values(["query_id", "item_id"]).reset_index(drop=True)
+
+    want = best(None)
+    pd.testing.assert_frame_equal(best(np.full(40, 1e3)), want)
+    assert len(want) == 200 and max(merged) <= 2 * 5 * 40
+    copies = items.assign(embedding=[x[0]] * len(x))  # all distances equal: the smallest ids, and no more rows than that
+    top = KNN._TopK(5, np.arange(40), q, "query_id", "item_id")
+    top.add(copies, "embedding", [])
+    assert set(top.best["item_id"]) == set(range(5)) and merged[-1] == 200
+
+
+def test_an_item_block_is_not_held_as_rows_of_objects(partitioned):
+    x = np.random.default_rng(9).normal(size=(90, 4))
+    items = partitioned.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "item_id long, embedding array<double>")
+    asked = items.select(F.col("item_id").alias("query_id"), "embedding")
+    plan = KNN.knn_exact(asked, items, k=3, item_id="item_id", broadcast_rows=0)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan

@@ -109,3 +109,16 @@ def test_evaluate_stems_by_default_and_rows_have_four_decimals(spark):
     assert on["rouge1"] > off["rouge1"]
     row = EV.summary_rows(EV.evaluate(pairs, hits, ["query_id"]), ["query_id"], categories=["a", "b"]).first()
     assert row["category_order"] == 2 and row["rouge1"] == round(on["rouge1"], 4)
+
+
+def test_grounding_takes_texts_from_a_table(spark):
+    from lodestar.operators import evaluation as EV
+    hits = spark.createDataFrame([(1, "a", 1, "the cat"), (1, "b", 2, "sat the"), (1, "a", 3, "the cat"), (2, "b", 1, "sat the"),
+                                  (3, "n", 1, None)], "query_id long, chunk_id string, rank int, content string")
+    answers = spark.createDataFrame([(1, "the cat sat"), (2, "a dog"), (3, "x"), (4, "y")], "query_id long, generated string")
+    texts = hits.select("chunk_id", "content").dropDuplicates()
+    rows = lambda df: sorted((r["query_id"], r["kg_score"]) for r in df.collect())
+    want = rows(EV.grounding_score(hits, answers))
+    assert rows(EV.grounding_score(hits.drop("content"), answers, contents=texts)) == want
+    # joined: "the cat sat the the cat", the x 3, cat x 2, sat x 1
+    assert abs(want[0][1] - 6 / (14 ** 0.5 * 3 ** 0.5)) < 1e-6 and want[2][1] is None and want[3][1] is None
