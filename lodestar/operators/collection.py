@@ -13,6 +13,8 @@ token_length, embedding_model>, document STRING`` plus ``year`` and ``chunk_inde
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,7 +113,8 @@ def in_buckets(df: DataFrame, buckets: int, key: str = "chunk_id") -> DataFrame:
 
 
 def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id",
-                     order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS) -> None:
+                     order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS,
+                     finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Append the records whose key is not yet in the collection at ``path``.
 
     The bucket of every record follows from the count stored with the collection, not
@@ -121,6 +124,10 @@ def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str
     Repeated keys in the batch keep the first by ``order``; keys already stored are
     left unchanged (the reference's behaviour).  Replaying the
     same batch writes nothing, which makes a retried micro-batch harmless.
+
+    ``finish`` makes records of the batch's rows (embeds them, say) where they are written: rows that are not stored are not
+    embedded, and no vector is shuffled.  It keeps every row and the key; mark functions of its own that are dear
+    ``asNondeterministic``, or Spark calls them for a filter on their results before the shuffle too.
     """
     existing = open_table(spark, path)
     stored = stored_buckets(spark, path)
@@ -139,32 +146,41 @@ def insert_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str
         # shuffles the collection's keys; the result is at most the batch's size.
         present = keys.join(batch.select("bucket", key), ["bucket", key], "left_semi")
         batch = batch.join(present, ["bucket", key], "left_anti")
-    _write(batch, path, "append")
+    _write(batch, path, "append", stored, key, finish)
 
 
 def rebuild_collection(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id",
-                       order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS, unique: bool = False) -> None:
+                       order: tuple[str, ...] = ORDER, buckets: int = DEFAULT_BUCKETS, unique: bool = False,
+                       finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Clear the collection and load ``batch`` (first per key wins) in ``buckets`` buckets.
 
-    ``unique`` says that the batch holds every key once (winners picked before embedding, say).
+    ``unique`` says that the batch holds every key once (winners picked before embedding, say); ``finish`` as in
+    ``insert_if_absent``.
     """
     _write_layout(spark, path, buckets)
-    placed = in_buckets(batch, buckets, key)
-    _write(placed if unique else first_per_key(placed, key, order, also=("bucket",)), path, "overwrite")
+    rows = in_buckets(batch, buckets, key)
+    _write(rows if unique else first_per_key(rows, key, order, also=("bucket",)), path, "overwrite", buckets, key, finish)
 
 
 def _write_layout(spark: SparkSession, path: str, buckets: int) -> None:
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(_layout_path(path))
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
+def _write(df: DataFrame, path: str, mode: str, buckets: int = DEFAULT_BUCKETS, key: str = "chunk_id",
+           finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    out = placed(df, buckets, key, finish).sortWithinPartitions("bucket", "metadata.title", "chunk_id")
+    out.write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def placed(df: DataFrame, buckets: int, key: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows dealt out by bucket, then finished."""
     # REBALANCE on the bucket keeps a bucket's rows together in few files, and AQE
     # splits a large (or skewed) bucket into advisory-sized tasks instead of one
     # task per bucket.  The sort starts with the partition column, which the
     # partitioned writer requires (otherwise it re-sorts by bucket alone), so rows
     # stay ordered by title inside each file.
-    out = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "metadata.title", "chunk_id")
-    out.write.mode(mode).partitionBy("bucket").parquet(path)
+    out = df.hint("rebalance", "bucket")
+    return out if finish is None else in_buckets(finish(out.drop("bucket")), buckets, key)
 
 
 def list_titles(collection: DataFrame) -> DataFrame:

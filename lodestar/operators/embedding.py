@@ -56,6 +56,11 @@ def _by_step(buckets: pa.Array, dim: int, dtype, finish) -> np.ndarray:
     return out
 
 
+def _once(udf):
+    """``udf`` where the query calls it: Spark pushes a filter on a deterministic one below joins and shuffles and calls it there again."""
+    return udf.asNondeterministic()
+
+
 def _as_list_array(mat: np.ndarray, value_type: pa.DataType) -> pa.Array:
     n, dim = mat.shape
     offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
@@ -98,7 +103,7 @@ def hashed_embedding(col, dim: int = HASH_DIM) -> Column:
     def dense_normalised(buckets: pa.Array) -> pa.Array:
         return _as_list_array(_by_step(buckets, dim, np.float32, _normalised), pa.float32())
 
-    return dense_normalised(hashed_buckets(col, dim))
+    return _once(dense_normalised)(hashed_buckets(col, dim))
 
 
 def embed_hashed(
@@ -135,7 +140,7 @@ def embed_with(
             vecs = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(vecs))
 
-    out = df.withColumn(out_col, encode(F.col(text_col)))
+    out = df.withColumn(out_col, _once(encode)(F.col(text_col)))
     if model_col:
         out = out.withColumn(model_col, F.lit(model_name))
     return out

@@ -19,6 +19,7 @@ a batch may lack nullable columns of the collection and bring new ones (each sid
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,10 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
 
 
 def _write_rows(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, dict[int, str]]:
+    """``rows`` are dealt out by bucket already."""
     write = uuid.uuid4().hex
     folder = f"{path.rstrip('/')}/write={write}"
-    CO._write(rows, folder, "errorifexists")
+    rows.sortWithinPartitions("bucket", "metadata.title", "chunk_id").write.partitionBy("bucket").parquet(folder)
     # Folder names only: a scan of the partition column reads no file's rows beyond its footer.
     held = spark.read.parquet(folder).select("bucket").distinct().collect()
     return write, {r["bucket"]: f"{folder}/bucket={r['bucket']}" for r in held}
@@ -89,20 +91,24 @@ def reset(spark: SparkSession, path: str, buckets: int = CO.DEFAULT_BUCKETS) ->
 
 
 def rebuild(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = CO.ORDER,
-            buckets: int = CO.DEFAULT_BUCKETS) -> int:
-    """Publish a version that holds ``batch`` alone (first per key); readers see the old one until it is whole."""
+            buckets: int = CO.DEFAULT_BUCKETS, finish: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Publish a version that holds ``batch`` alone (first per key); readers see the old one until it is whole.
+
+    ``finish`` makes records of the batch's rows where they are written, as in ``collection.insert_if_absent``.
+    """
     version = newest_version(spark, path) or 0
     rows = CO.first_per_key(CO.in_buckets(batch, buckets, key), key, order, also=("bucket",))
-    if rows.isEmpty():
+    if batch.isEmpty():  # not the rows picked from it: that would shuffle the batch twice
         return reset(spark, path, buckets)
-    write, folders = _write_rows(spark, path, rows)
+    write, folders = _write_rows(spark, path, CO.placed(rows, buckets, key, finish))
     return _publish(spark, path, version + 1, write, buckets, folders)
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = CO.ORDER,
-           buckets: int = CO.DEFAULT_BUCKETS) -> int | None:
+           buckets: int = CO.DEFAULT_BUCKETS, finish: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
     """Replace or add the batch's records and publish the next version; the version that then holds.
 
+    ``finish`` as in ``rebuild``.
     ``buckets`` is used for a collection that does not exist yet.
     """
     version, stored, folders = _folders(spark, path)
@@ -114,9 +120,11 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "chunk_i
     if not touched:
         return version
     old = _read(spark, path, {b: f for b, f in folders.items() if b in touched})
+    rows = CO.placed(new, buckets, key, finish)
     if old is not None:
         given = new.select("bucket", F.col(key).alias("_given"))
         same = (old["bucket"] == given["bucket"]) & old[key].eqNullSafe(given["_given"])
-        new = new.unionByName(old.join(given, same, "left_anti"), allowMissingColumns=True)
-    write, written = _write_rows(spark, path, new)
+        kept = CO.placed(old.join(given, same, "left_anti"), buckets, key)
+        rows = rows.unionByName(kept, allowMissingColumns=True)
+    write, written = _write_rows(spark, path, rows)
     return _publish(spark, path, (version or 0) + 1, write, buckets, {**folders, **written})

@@ -8,6 +8,7 @@ are BIGINT on both sides so that the comparison is exact.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -388,6 +389,11 @@ def shared_collection(spark, sf_dir) -> DataFrame:
     return staged(spark, CO.to_records(EM.embed_hashed(first, "chunk_content")), "collection")
 
 
+def embedded_records(rows: DataFrame, model: str = EM.HASHED_MODEL_NAME) -> DataFrame:
+    """Chunks -> embedded collection records."""
+    return CO.to_records(EM.embed_hashed(rows, "chunk_content", model_col=None).withColumn("embedding_model", F.lit(model)))
+
+
 @register("rebuild_collection", f"""
 WITH {O.shared_collection_ctes()}
 SELECT chunk_id, doc_id, title, CAST(len({O.words('chunk_content')}) AS BIGINT) AS token_length,
@@ -397,10 +403,8 @@ FROM coll
 def q_rebuild_collection(spark, sf_dir):
     from ..session import scratch_path
     path = scratch_path(spark, "collection")
-    # Winners are picked on the chunks, so only they are embedded, and no vector is sorted.
-    first = CO.first_per_key(shared_chunks(spark, sf_dir), "chunk_id", COLL_ORDER)
-    recs = CO.to_records(EM.embed_hashed(first, "chunk_content"))
-    CO.rebuild_collection(spark, path, recs, order=COLL_ORDER, unique=True)
+    # Winners are picked on the chunks and embedded where they are written, so no vector is shuffled.
+    CO.rebuild_collection(spark, path, shared_chunks(spark, sf_dir), order=COLL_ORDER, finish=embedded_records)
     back = spark.read.parquet(path)
     return back.select("chunk_id", "doc_id", "metadata.title", "metadata.token_length", "metadata.embedding_model")
 
@@ -417,15 +421,12 @@ SELECT chunk_id, doc_id, 'v1' AS embedding_model FROM coll WHERE chunk_id NOT IN
 def q_insert_if_absent(spark, sf_dir):
     from ..session import scratch_path
     path = scratch_path(spark, "collection")
-    # stage the embedded batch once (a written table cuts the lineage; three writes reuse it)
-    stage = scratch_path(spark, "embedded-batch")
-    EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None).write.parquet(stage)
-    emb = spark.read.parquet(stage)
-    existing = CO.to_records(emb.where(F.col("doc_id") % 2 == 0).withColumn("embedding_model", F.lit("v0")))
-    batch = CO.to_records(emb.withColumn("embedding_model", F.lit("v1")))
-    CO.rebuild_collection(spark, path, existing, order=COLL_ORDER)
-    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER)
-    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER)  # a replay adds nothing
+    # stage the chunks once (a written table cuts the lineage; three writes reuse it); winners alone are embedded
+    batch = staged(spark, shared_chunks(spark, sf_dir), "chunk-batch")
+    v0, v1 = (functools.partial(embedded_records, model=m) for m in ("v0", "v1"))
+    CO.rebuild_collection(spark, path, batch.where(F.col("doc_id") % 2 == 0), order=COLL_ORDER, finish=v0)
+    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER, finish=v1)
+    CO.insert_if_absent(spark, path, batch, order=COLL_ORDER, finish=v1)  # a replay adds nothing
     back = spark.read.parquet(path)
     return back.select("chunk_id", "doc_id", "metadata.embedding_model")
 
@@ -445,12 +446,12 @@ SELECT chunk_id, doc_id, 'v0' AS embedding_model FROM ex WHERE chunk_id NOT IN (
 def q_upsert_collection(spark, sf_dir):
     from ..session import scratch_path
     path = scratch_path(spark, "collection")
-    emb = staged(spark, EM.embed_hashed(shared_chunks(spark, sf_dir), "chunk_content", model_col=None), "embedded-batch")
-    stored = CO.to_records(emb.where(F.col("doc_id") % 2 == 0).withColumn("embedding_model", F.lit("v0")))
-    batch = CO.to_records(emb.where(F.col("doc_id") % 3 != 0).withColumn("embedding_model", F.lit("v1")))
-    VE.rebuild(spark, path, stored, order=COLL_ORDER)
-    VE.upsert(spark, path, batch, order=COLL_ORDER)
-    VE.upsert(spark, path, batch, order=COLL_ORDER)  # the same records again change nothing
+    chunks = staged(spark, shared_chunks(spark, sf_dir), "chunk-batch")
+    batch = chunks.where(F.col("doc_id") % 3 != 0)
+    v0, v1 = (functools.partial(embedded_records, model=m) for m in ("v0", "v1"))
+    VE.rebuild(spark, path, chunks.where(F.col("doc_id") % 2 == 0), order=COLL_ORDER, finish=v0)
+    VE.upsert(spark, path, batch, order=COLL_ORDER, finish=v1)
+    VE.upsert(spark, path, batch, order=COLL_ORDER, finish=v1)  # the same records again change nothing
     return VE.read_version(spark, path).select("chunk_id", "doc_id", "metadata.embedding_model")
 
 
@@ -984,12 +985,15 @@ def q_knn_approx_all_cells(spark, sf_dir):
 # Streams (each equals its batch twin)
 # ---------------------------------------------------------------------------
 
-def _prepare_shared(df: DataFrame) -> DataFrame:
+def _chunks_of_stream(df: DataFrame) -> DataFrame:
     docs = df.select("doc_id", FX.shared_title().alias("title"), FX.year_of("doc_id").alias("year"), "source",
                      TX.clean_text("text").alias("text")).where(~TX.is_blank("text"))
     ch = CH.chunk_tokens(docs, "text", 64, 16, keep=["doc_id", "title", "year", "source"])
-    ch = ch.withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
-    return CO.to_records(EM.embed_hashed(ch, "chunk_content"))
+    return ch.withColumn("chunk_id", TX.chunk_id("title", "chunk_index"))
+
+
+def _prepare_shared(df: DataFrame) -> DataFrame:
+    return embedded_records(_chunks_of_stream(df))
 
 
 @register("ingest_stream", ORACLE_SQL["rebuild_collection"])
@@ -999,7 +1003,7 @@ def q_ingest_stream(spark, sf_dir):
     schema = FX.table(spark, sf_dir, "documents").schema
     stream = ST.table_stream(spark, FX.table_path(sf_dir, "documents"), schema)
     path, ckpt = scratch_path(spark, "collection"), scratch_path(spark, "ckpt-ingest")
-    q = ST.ingest_stream(spark, stream, _prepare_shared, path, ckpt, order=COLL_ORDER)
+    q = ST.ingest_stream(spark, stream, _chunks_of_stream, path, ckpt, order=COLL_ORDER, finish=embedded_records)
     q.awaitTermination()
     back = spark.read.parquet(path)
     return back.select("chunk_id", "doc_id", "metadata.title", "metadata.token_length", "metadata.embedding_model")

@@ -51,16 +51,19 @@ def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: st
 
 
 def ingest_stream(spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFrame], DataFrame],
-                  collection_path: str, checkpoint: str, order=CO.ORDER, available_now: bool = True) -> StreamingQuery:
+                  collection_path: str, checkpoint: str, order=CO.ORDER, available_now: bool = True,
+                  finish: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """New documents -> ``prepare`` (clean, chunk, embed, records) -> insert-if-absent into the collection.
 
+    The later steps (embed, records) may be given as ``finish``: then only rows that are stored go through them.
+
     The stream is spread round-robin before the per-document work: a micro-batch
     of a few large files would otherwise be chunked and embedded by few tasks.
     """
     records = prepare(stream.repartition(spark.sparkContext.defaultParallelism * 2))
 
     def insert(batch: DataFrame, epoch_id: int) -> None:
-        CO.insert_if_absent(spark, collection_path, batch, order=order)
+        CO.insert_if_absent(spark, collection_path, batch, order=order, finish=finish)
 
     return _run(records, insert, checkpoint, available_now)
 

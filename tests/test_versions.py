@@ -80,3 +80,35 @@ def test_a_batch_with_other_columns(spark):
     VE.upsert(spark, path, records(spark, [("b", 1, "b2")]).withColumn("_given", F.lit(1)))
     got = {r["chunk_id"]: (r["document"], r["note"], r["_given"]) for r in VE.read_version(spark, path).collect()}
     assert got == {"a": ("a1", "n", None), "b": ("b2", None, 1)}
+
+
+def test_only_stored_rows_are_finished(spark, tmp_path):
+    """Losers of a key and keys that are stored already never reach ``finish``."""
+    from pyspark.sql import functions as F
+    from lodestar.operators import collection as CO
+    from lodestar.operators import versions as VE
+
+    @F.udf("array<float>")
+    def embed(text):
+        if text == "loser":
+            raise ValueError(text)
+        return [float(len(text))]
+
+    def finish(rows):
+        return CO.to_records(rows.withColumn("embedding", embed.asNondeterministic()("chunk_content")))
+
+    rows = [(f"c{k}", f"t{k % 3}", 2022 + late, "s", k, "loser" if late else f"text {k}") for k in range(30) for late in (0, 1)]
+    batch = spark.createDataFrame(rows, "chunk_id string, title string, year int, source string, chunk_index int, chunk_content string")
+    read = lambda df: sorted((r["chunk_id"], r["document"], r["embedding"][0], r["metadata"]["title"]) for r in df.collect())
+    want = sorted((f"c{k}", f"text {k}", float(len(f"text {k}")), f"t{k % 3}") for k in range(30))
+    path = str(tmp_path / "coll")
+    CO.rebuild_collection(spark, path, batch.where("chunk_index < 10"), finish=finish)
+    CO.insert_if_absent(spark, path, batch, finish=finish)
+    again = batch.withColumn("chunk_content", F.lit("loser"))  # every key is stored: nothing is embedded
+    CO.insert_if_absent(spark, path, again, finish=finish)
+    assert read(spark.read.parquet(path)) == want
+    versions = str(tmp_path / "versions")
+    VE.rebuild(spark, versions, batch.where("chunk_index < 10"), finish=finish, buckets=8)
+    VE.upsert(spark, versions, batch.where("chunk_index >= 5"), finish=finish)
+    assert read(VE.read_version(spark, versions)) == want
+    assert {r[0] for r in VE.read_version(spark, versions).select("bucket").distinct().collect()} <= set(range(8))
