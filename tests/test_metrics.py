@@ -122,3 +122,13 @@ def test_grounding_takes_texts_from_a_table(spark):
     assert rows(EV.grounding_score(hits.drop("content"), answers, contents=texts)) == want
     # joined: "the cat sat the the cat", the x 3, cat x 2, sat x 1
     assert abs(want[0][1] - 6 / (14 ** 0.5 * 3 ** 0.5)) < 1e-6 and want[2][1] is None and want[3][1] is None
+
+
+def test_bleu_tasks_are_bounded_by_words(spark, monkeypatch):
+    from lodestar.operators import evaluation as EV
+    pairs = spark.createDataFrame([(k, "a b c d e f " * 5, "a b c d e x " * 5) for k in range(40)], "id int, reference string, generated string")
+    want = sorted(tuple(r) for r in EV.bleu4(pairs, ["id"]).collect())
+    monkeypatch.setattr(EV, "WORDS_PER_TASK", 300)
+    got = EV.bleu4(pairs, ["id"])
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and sorted(tuple(r) for r in got.collect()) == want
+    assert EV.bleu4(pairs.limit(0), ["id"]).collect() == []
