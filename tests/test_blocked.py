@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import fuzzy as FZ
 from lodestar.operators import knn as KNN
 from lodestar.operators import quantize as PQ
+from test_metrics import py_ratio
 
 
 @pytest.fixture()
@@ -79,3 +80,43 @@ def test_an_item_block_is_not_held_as_rows_of_objects(partitioned):
     asked = items.select(F.col("item_id").alias("query_id"), "embedding")
     plan = KNN.knn_exact(asked, items, k=3, item_id="item_id", broadcast_rows=0)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def _random_titles(n, seed):
+    rng = np.random.default_rng(seed)
+    letters = "abé1_"
+    return ["".join(rng.choice(list(letters), rng.integers(0, 14))) for _ in range(n)]
+
+
+def test_fuzzy_titles_by_deletions_equal_every_pair_compared(partitioned, monkeypatch):
+    # Short lengths may be deleted from, longer ones not: both sides of the bounds meet in one table.
+    for one, two in ((64, 32), (9, 7)):
+        monkeypatch.setattr(FZ, "DELETE_ONE", one)
+        monkeypatch.setattr(FZ, "DELETE_TWO", two)
+        titles = [*_random_titles(150, 1), "AB1a", "ab1A", None, "long title " * 4 + "x", "long title " * 4 + "yz"]
+        asked = [*_random_titles(120, 2), "ab1a", "", None, "long title " * 4, "long title " * 8 + "and on"]
+        names = partitioned.createDataFrame([(k % 115, t) for k, t in enumerate(asked)] + [(None, "ab1a")], "name_id long, name string")
+        table = partitioned.createDataFrame([(t,) for t in titles], "title string")
+        want = {}
+        for k, t in enumerate(asked):
+            for title in {x for x in titles if x}:
+                r = py_ratio((t or "").lower(), title.lower())
+                if t and r > 0.85 and (-r, title) < want.get(k % 115, (0, "")):
+                    want[k % 115] = (-r, title)
+        for bound in (1000, 0):
+            got = FZ.fuzzy_title_match(names, table, broadcast_names=bound).collect()
+            assert len(got) == len(asked) + 1
+            for r in got:
+                best = want.get(r["name_id"]) if r["name_id"] is not None else None
+                assert (r["title"], r["ratio"]) == ((best[1], -best[0]) if best else (None, None)), r
+
+
+def test_near_names_are_not_compared_with_all_titles(partitioned, monkeypatch):
+    rest = []
+    compared = FZ._compared
+    monkeypatch.setattr(FZ, "_compared", lambda n, *a: (rest.append(n.count()), compared(n, *a))[1])
+    titles = partitioned.createDataFrame([(f"report {k:05d}",) for k in range(300)], "title string")
+    names = partitioned.createDataFrame([(k, (f"report {k:05d}", f"rport {k:05d}", f"report {k:05d}"[:-1] + "x")[k % 3])
+                                         for k in range(300)] + [(-1, "nothing like it")], "name_id long, name string")
+    assert sum(r["title"] is not None for r in FZ.fuzzy_title_match(names, titles).collect()) == 300
+    assert rest == [1]
