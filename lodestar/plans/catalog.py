@@ -1030,7 +1030,8 @@ def q_query_stream(spark, sf_dir):
     from ..session import scratch_path
     from .. import streaming as ST
     coll_path = scratch_path(spark, "collection")
-    CO.rebuild_collection(spark, coll_path, shared_collection(spark, sf_dir), order=COLL_ORDER)
+    # As in rebuild_collection: each winner is embedded and written once, and no vector is shuffled.
+    CO.rebuild_collection(spark, coll_path, shared_chunks(spark, sf_dir), order=COLL_ORDER, finish=embedded_records)
     schema = FX.table(spark, sf_dir, "benchmark").schema
     raw = ST.table_stream(spark, FX.table_path(sf_dir, "benchmark"), schema)
     qs = raw.select(F.col("item_id").alias("query_id"), TX.py_strip(FX.composed_question()).alias("query")) \
