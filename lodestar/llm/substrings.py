@@ -12,7 +12,8 @@ words; marks return to the documents as intervals.
 Super-k-mers of equal words inside one batch are packed once: the later ones are marked
 on the spot, so a passage that a third of all documents share sends one string from
 each batch, not one from each document.  Packed strings of one batch and
-bucket are compressed together.  A bucket is counted one of its ``CELLS`` cells at a time.
+bucket are compressed together.  A bucket is counted one of its ``CELLS`` cells at a time, and only
+``CELLS_HELD`` of them are unpacked.
 
 A first pass counts the words of every cell.  A cell of more than ``HOT_WORDS`` words (the flanks of a passage
 that very many documents share have their own words beside shared ones, so none is packed once) is not kept together:
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -45,8 +47,9 @@ from .common import buckets_for, text_column, total_bytes
 
 WIDTH = 20
 MER = 3
-#: Text bytes for each bucket (a bucket holds about three times as much in packed strings) and cells of a bucket.
-BUCKET_BYTES, CELLS = 12 << 20, 8
+#: Text bytes for each bucket (a bucket holds about three times as much in packed strings), cells of a bucket, and
+#: cells whose strings are unpacked at a time.
+BUCKET_BYTES, CELLS, CELLS_HELD = 12 << 20, 16, 4
 #: Text bytes that a task packs at a time.
 BATCH_BYTES = 6 << 20
 #: Words of packed strings that are counted together; cells beyond are dealt by window. A bucket of such windows.
@@ -153,10 +156,11 @@ def _pack(docs: pd.DataFrame, width: int, buckets: int, hot: frozenset = frozens
     All columns but ``text`` together name a document.
     """
     names = [c for c in docs.columns if c != "text"]
-    own: dict[int, list] = defaultdict(list)
-    texts: dict[int, list[bytes]] = defaultdict(list)
+    # Numbers and bytes by bucket: no object stays for each string.
+    own: dict[int, array] = defaultdict(lambda: array("q"))
+    texts: dict[int, bytearray] = defaultdict(bytearray)
     seen: set[bytes] = set()
-    marks = []
+    marks = array("q")
     cells = buckets * CELLS
     for *doc, text in sorted(set(zip(*(docs[c].tolist() for c in (*names, "text"))))):
         words = words_of(text)
@@ -164,33 +168,42 @@ def _pack(docs: pd.DataFrame, width: int, buckets: int, hot: frozenset = frozens
         for f, c, cell in zip(first.tolist(), count.tolist(), (least % np.uint64(cells)).tolist()):
             s = b" ".join(words[f:f + c + width - 1])
             if (digest := xxhash.xxh3_128_digest(s)) in seen:
-                marks.append((*doc, f, c))
+                marks.extend((*doc, f, c))
                 continue
             seen.add(digest)
             if cell not in hot:
-                own[cell // CELLS].append((*doc, f, c, cell % CELLS))
-                texts[cell // CELLS].append(s)
+                own[cell // CELLS].extend((*doc, f, c, cell % CELLS))
+                texts[cell // CELLS] += s + b"\n"
                 continue
             for at in range(f, f + c):
                 digest = xxhash.xxh3_128_digest(b" ".join(words[at:at + width])) + b"w"  # apart from those of strings
                 if digest in seen:
-                    marks.append((*doc, at, 1))
+                    marks.extend((*doc, at, 1))
                     continue
                 seen.add(digest)
                 bucket = buckets + int.from_bytes(digest[:8], "little") % hot_buckets
-                own[bucket].append((*doc, at, 1, 0))
-                texts[bucket].append(digest[:16])
+                own[bucket].extend((*doc, at, 1, 0))
+                texts[bucket] += digest[:16]
     del seen
     zip_ = zstandard.ZstdCompressor(level=3)
-    out = []
-    for b in own:
-        data = b"".join(texts[b]) if b >= buckets else b"\n".join(texts[b])
-        out.append((b, zip_.compress(np.array(own[b], np.int64).T.tobytes()), zip_.compress(data), *[None] * len(names), None, None))
-        texts[b] = own[b] = None
-    out += [(None, None, None, *m) for m in marks]
-    kinds = {"bucket": "Int32", "docs": object, "text": object, **{c: "Int64" for c in names}, "start": "Int32", "n": "Int32"}
-    # Typed column by column: a null among 64-bit numbers must not turn them into doubles.
-    return pd.DataFrame({c: pd.Series(v, dtype=k) for (c, k), v in zip(kinds.items(), zip(*out) if out else [[]] * len(kinds))})
+    buckets_held, packed = list(own), []
+    for b in buckets_held:
+        rows = np.frombuffer(own.pop(b), np.int64).reshape(-1, len(names) + 3)
+        packed.append((zip_.compress(rows.T.tobytes()), zip_.compress(texts.pop(b))))
+    # Packed rows first, then marks; typed column by column, as a null among 64-bit numbers must not turn them into doubles.
+    marked = np.frombuffer(marks, np.int64).reshape(-1, len(names) + 2).T
+    n, m = len(packed), marked.shape[1]
+    is_mark = np.repeat([False, True], [n, m])
+
+    def numbers(values, kind, null):
+        return pd.arrays.IntegerArray(np.concatenate(values).astype(kind), null)
+
+    zeros = np.zeros(n, np.int64)
+    return pd.DataFrame({
+        "bucket": numbers([np.array(buckets_held, np.int64), np.zeros(m, np.int64)], np.int32, is_mark),
+        **{c: pd.Series([p[k] for p in packed] + [None] * m, dtype=object) for k, c in enumerate(("docs", "text"))},
+        **{c: numbers([zeros, marked[k]], np.int64, ~is_mark) for k, c in enumerate(names)},
+        "start": numbers([zeros, marked[-2]], np.int32, ~is_mark), "n": numbers([zeros, marked[-1]], np.int32, ~is_mark)})
 
 
 def _marked(doc: np.ndarray, begins: np.ndarray, first: np.ndarray, first_begins: np.ndarray) -> np.ndarray:
@@ -213,9 +226,9 @@ def _heads(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _count_cell(docs: np.ndarray, strings: list[bytes], width: int, names: list[str]) -> pd.DataFrame:
-    """Marks of every window of packed strings whose words also start earlier."""
-    words = b" ".join(strings).split()
+def _count_cell(docs: np.ndarray, strings: bytes, width: int, names: list[str]) -> pd.DataFrame:
+    """Marks of every window of packed strings (one to a line) whose words also start earlier."""
+    words = strings.split()
     number = dict.fromkeys(words)
     number = dict(zip(number, range(len(number))))
     ids = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
@@ -263,15 +276,25 @@ def _count_bucket(pdf: pd.DataFrame, width: int, hot: bool = False) -> pd.DataFr
     """Marks of a bucket as ``_pack`` gave it, of strings or of hot windows."""
     unzip = zstandard.ZstdDecompressor()
     names = [c for c in DOCUMENT if c in pdf.columns]
-    docs = np.concatenate([np.frombuffer(unzip.decompress(d), np.int64).reshape(len(names) + 3, -1) for d in pdf["docs"]], axis=1)
+    docs = [np.frombuffer(unzip.decompress(d), np.int64).reshape(len(names) + 3, -1) for d in pdf["docs"]]
+    sizes = [d.shape[1] for d in docs]
+    ends, docs = np.cumsum(sizes), np.concatenate(docs, axis=1)
     if hot:
         return _count_digests(docs, b"".join(map(unzip.decompress, pdf["text"])), names)
-    strings = [s for t in pdf["text"] for s in unzip.decompress(t).split(b"\n")]
     out = []
-    for cell in range(CELLS):
-        at = np.flatnonzero(docs[-1] == cell)
-        if len(at):
-            out.append(_count_cell(docs[:, at], [strings[k] for k in at.tolist()], width, names))
+    for low in range(0, CELLS, CELLS_HELD):
+        lines: list[list[bytes]] = [[] for _ in range(CELLS_HELD)]
+        for data, end, size in zip(pdf["text"], ends, sizes):
+            cells = docs[-1, end - size:end]
+            every = unzip.decompress(data).split(b"\n")
+            for k in range(CELLS_HELD):
+                at = np.flatnonzero(cells == low + k)
+                if len(at):
+                    lines[k].append(b"\n".join(map(every.__getitem__, at.tolist())))
+        for k in range(CELLS_HELD):
+            if lines[k]:
+                strings, lines[k] = b"\n".join(lines[k]), []
+                out.append(_count_cell(docs[:, docs[-1] == low + k], strings, width, names))
     return pd.concat(out)
 
 

@@ -92,7 +92,7 @@ class Remembered(dict):
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes; ``keep`` bounds the remembered words."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

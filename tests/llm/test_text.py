@@ -353,3 +353,25 @@ def test_repeated_windows_of_odd_rows(spark, odd, empty):
     assert cleaned.columns == odd.columns and cleaned.count() == len(ROWS)
     got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert got[6] == "twentyseven more." and got[5] == NEAR + "."
+
+
+def test_packing_and_counting_keep_no_object_for_each_string():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    rows = [" ".join(map(str, rng.integers(0, 10**6, 3000))) for _ in range(60)]
+    docs, size = pd.DataFrame({"key": range(60), "tag": 0, "text": rows}), sum(map(len, rows))
+
+    def peak(run):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    assert peak(lambda: substrings._pack(docs, 20, 40)) < 6
+    packed = substrings._pack(docs, 20, 1)
+    assert peak(lambda: substrings._count_bucket(packed, 20)) < 12.2
