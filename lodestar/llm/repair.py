@@ -33,10 +33,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, shared_path, text_column, total_bytes
+from .common import buckets_for, chunks, shared_path, text_column, total_bytes
 from .tokens import encoder
 
 MAGIC = b"IDSRPR01"
@@ -55,13 +56,15 @@ def frequent_pairs(symbols: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray,
     frequent as its cell, so these hold the most frequent pairs.
     """
     pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
-    count = np.bincount(cell[joins], minlength=1 << CELL_BITS)
+    cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.intp)
+    count = np.bincount(cell, minlength=1 << CELL_BITS) - np.bincount(cell[~joins], minlength=1 << CELL_BITS)
     least = max(LEAST_COUNT, int(np.partition(count, -RULES)[-RULES]) // 2)
     where = np.flatnonzero(joins & (count >= least)[cell])
-    pairs, which, n = np.unique(pair[where], return_inverse=True, return_counts=True)
-    best = np.lexsort((pairs, -n))[:RULES]
-    best = best[n[best] >= LEAST_COUNT]
+    numbered = pa.array(pair[where]).dictionary_encode()
+    pairs, which = np.asarray(numbered.dictionary), np.asarray(numbered.indices)
+    n = np.bincount(which, minlength=len(pairs))
+    best = np.flatnonzero(n >= LEAST_COUNT)
+    best = best[np.lexsort((pairs[best], -n[best]))[:RULES]]
     rank = np.full(len(pairs), -1)
     rank[best] = np.arange(len(best))
     rule = rank[which]
@@ -99,10 +102,10 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Length of each rule's expansion; a rule names earlier rules only."""
-    out = np.ones(len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -174,7 +177,11 @@ class Shard:
         return expand(s[a:b], self.rules, self.base)[start - before:stop - before]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        """Ids of all documents: each rule is expanded once, symbols take their ids or expansions."""
+        ids = np.concatenate([np.arange(self.base), expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)])
+        ends = 4 * np.cumsum(np.concatenate([np.arange(self.base + 1) > 0, self.rule_lengths]), dtype=np.int64)
+        table = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+        return np.frombuffer(table.take(pa.array(self.symbols)).buffers()[2], "<u4", self.n_ids)
 
 
 def write_shards(docs: DataFrame, vocabulary: str, path: str, shard_bytes: int = SHARD_BYTES) -> None:
@@ -188,10 +195,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, shard_bytes: int =
         end = END_ID.to_bytes(4, "little")
         keys, ids, size = [], [], 0
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at:at + 256]
-                new = [x + end for x in enc.encode(part["text"].tolist())]
-                keys += part["key"].tolist()
+            for part in chunks(list(zip(b["key"].tolist(), b["text"].tolist())), lambda row: len(row[1]), 2 * shard_bytes):
+                new = [x + end for x in enc.encode([text for _, text in part])]
+                keys += [key for key, _ in part]
                 ids += new
                 size += sum(map(len, new))
                 if size > 4 * shard_bytes:  # ids take more room than text; a range may also be larger than asked

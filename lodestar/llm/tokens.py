@@ -1,8 +1,8 @@
-"""Token ids of whole texts, equal to the ``tokenizers`` library's, at the price of one dictionary lookup a word.
+"""Token ids of whole texts, equal to the ``tokenizers`` library's, at the price of one merge for each new piece.
 
-Byte-pair merges never cross the pieces that a tokenizer's own split makes, so the
-pieces of new words are merged by the library's model, all of a chunk in one call, and
-words that come again are remembered in the worker.
+Byte-pair merges never cross the pieces that a tokenizer's own split makes.  The words of a
+chunk of texts are numbered in Arrow, only distinct words are split into pieces, and only
+pieces that the worker does not remember are merged by the library's model, all of a chunk in one call.
 The split runs here only for texts made of ASCII and Latin-1 letters, for which it
 is the fixed pattern below; any other text, and any text that may hold a special
 token, goes through the library whole.
@@ -16,6 +16,8 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -30,10 +32,12 @@ BYTE_SPLIT = re.compile(
 #: A single space between two visible characters: no piece of either split crosses the point before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 1 << 20
-#: Characters whose new words are merged in one call.
-_CHUNK = 1 << 20
-#: Marks a part of a text that has no space before it.
-_HEAD = "\x00"
+#: Characters of texts that are encoded together.
+_CHUNK = 6 << 20
+#: Stands between words that are split together.
+_BETWEEN = "\x00"
+#: Marks a part of a text that has no space before it, and a space at which a text is not cut.
+_HEAD, _SPACE = "\x01", "\x02"
 #: A space that other white space or the end follows.
 _RUN = re.compile(r" (?!\S)")
 
@@ -59,40 +63,10 @@ def pieces_of_long(text: str) -> list[str]:
     return out
 
 
-class Remembered(dict):
-    """Values of words met at least twice: at most ``keep``, and behind them the generation before.
-
-    Most distinct words of a corpus occur once; they are forgotten with their chunk.
-    """
-
-    def __init__(self, keep: int):
-        super().__init__()
-        self.keep, self.old, self.once, self.passing = keep, {}, set(), []
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys whose values must be added; all others are in the dictionary afterwards."""
-        for k in self.passing:
-            del self[k]
-        if len(self) > self.keep:
-            self.old = dict(self)
-            self.clear()
-        absent = keys.difference(self)
-        if self.old:
-            self.update((k, self.old[k]) for k in absent if k in self.old)
-            absent = absent.difference(self)
-        if len(self.once) > self.keep:
-            self.once.clear()
-        first = absent.difference(self.once)
-        self.once.difference_update(absent)
-        self.once |= first
-        self.passing = list(first)
-        return list(absent)
-
-
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit bytes; ``keep`` bounds the remembered words."""
+    """Ids as little-endian unsigned 32-bit bytes; the ``keep`` pieces met last are remembered."""
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -101,7 +75,13 @@ class PieceEncoder:
         self.bare = Tokenizer(self.library.model)
         self.split = self._known_split()
         self.letters = _byte_letters()
-        self.words = Remembered(keep)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # letters of each id
+        for token, number in vocabulary.items():
+            self.lengths[number] = len(token.removesuffix(suffix))
+        self.keep = keep
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _known_split(self) -> re.Pattern | None:
         """The pattern above if the file's normalizer and split are the known ones, else None (always whole texts)."""
@@ -121,27 +101,48 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of ``words`` (keys as in ``_keys``) in the dictionary, merging all new ones in one call."""
-        new = self.words.missing(words)
-        if not new:
-            return
-        texts = new if self.split is WORD_SPLIT else [w[1:] if w[:1] == _HEAD else " " + w for w in new]
-        flat = self.split.findall(_HEAD.join(texts))
-        between = np.fromiter((p == _HEAD for p in flat), bool, len(flat))
-        owner = np.cumsum(between)[~between]
-        pieces = [p for p in flat if p != _HEAD]
-        distinct = list(dict.fromkeys(pieces))
-        e = self.bare.encode(_HEAD.join(distinct).translate(self.letters).split(_HEAD), is_pretokenized=True,
-                             add_special_tokens=False)
-        ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(distinct)))).tolist()
-        of = dict(zip(distinct, _slices(np.array(e.ids, "<u4").tobytes(), ends)))
-        parts = list(map(of.__getitem__, pieces))
-        ends = np.cumsum(np.bincount(owner, np.fromiter(map(len, parts), np.int64, len(parts)), len(new))).astype(int)
-        self.words.update(zip(new, _slices(b"".join(parts), ends.tolist())))
-
-    def _keys(self, text: str) -> list[str]:
-        """Parts of a plain text that encode by themselves.
+    def _merged(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, merged by the library's model in one call."""
+        joined = _joined(pieces)
+        if joined.isascii():
+            for c in " \t\n\x0b\x0c\r":
+                joined = joined.replace(c, self.letters[ord(c)])
+        else:
+            joined = joined.translate(self.letters)
+        words = joined.split(_BETWEEN)[:-1]
+        # The call without offsets does not tell which piece an id is of; the letters of the ids do, as they make up the pieces.
+        [e] = self.bare.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        letters = np.append(0, np.cumsum(self.lengths[ids]))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+        at = np.searchsorted(letters, ends)
+        if letters[-1] != ends[-1] or not np.array_equal(letters[at], ends):  # letters that the vocabulary lacks
+            e = self.bare.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            at = np.append(0, np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))))
+        return _binary(4 * at, pa.py_buffer(ids))
+
+    def _ids_of(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, which are remembered before those met earlier."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = np.asarray(at.is_null())
+        known = at.drop_null()
+        ids = self.ids
+        if new.any():
+            ids = pa.concat_arrays([ids, self._merged(pieces.filter(pa.array(new)))])
+        where = np.empty(len(pieces), np.int64)
+        where[~new] = known
+        where[new] = np.arange(len(self.ids), len(ids))
+        found = ids.take(pa.array(where))
+        earlier = np.ones(len(self.pieces), bool)
+        earlier[known] = False
+        earlier = np.flatnonzero(earlier)[:max(0, self.keep - len(pieces))]
+        self.pieces, self.ids = (pa.concat_arrays([a[:self.keep], b.take(pa.array(earlier))])
+                                 for a, b in ((pieces, self.pieces), (found, self.ids)))
+        return found
+
+    def _words(self, texts: list[str]) -> pa.Array:
+        """Lists of the parts of plain texts that encode by themselves.
 
         Lower-case words split at white space, or for the byte-level split the
         stretches between spaces: each but the first stands for itself with the
@@ -149,16 +150,27 @@ class PieceEncoder:
         so such a text is one part.
         """
         if self.split is WORD_SPLIT:
-            return text.lower().split()
-        if _RUN.search(text):
-            return [_HEAD + text]
-        head, *rest = text.split(" ")
-        return [_HEAD + head, *rest]
+            return pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        texts = [_HEAD + (t.replace(" ", _SPACE) if _RUN.search(t) else t) for t in texts]
+        return pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, as ``_words`` gives them."""
+        joined = _BETWEEN + _joined(words)[:-1]  # before each word
+        if self.split is BYTE_SPLIT:
+            joined = joined.replace(_BETWEEN, _BETWEEN + " ").replace(f"{_BETWEEN} {_HEAD}", _BETWEEN).replace(_SPACE, " ")
+        flat = pa.array(self.split.findall(joined), pa.large_string())
+        between = np.asarray(pc.equal(flat, _BETWEEN))
+        pieces = flat.filter(pa.array(~between)).dictionary_encode()
+        ids = self._ids_of(pieces.dictionary).take(pieces.indices)
+        first = np.flatnonzero(between) - np.arange(len(words))  # the pieces before each word
+        return _binary(_ends(ids)[np.append(first, len(ids))], ids.buffers()[2])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, in order."""
         out: list[bytes] = [b""] * len(texts)
-        todo: list[tuple[int, list[str]]] = []
+        owners: list[int] = []
+        parts: list[str] = []
         size = 0
         for k, text in enumerate(texts):
             if not text:
@@ -166,24 +178,46 @@ class PieceEncoder:
             if self.split is None or "<|" in text or not PLAIN.fullmatch(text):
                 out[k] = self.whole(text)
                 continue
-            todo += [(k, self._keys(part)) for part in pieces_of_long(text)]
-            size += len(text)
-            if size > _CHUNK:
-                self._finish(todo, out)
-                todo, size = [], 0
-        self._finish(todo, out)
+            for part in pieces_of_long(text):
+                if size and size + len(part) > _CHUNK:
+                    self._finish(owners, parts, out)
+                    owners, parts, size = [], [], 0
+                owners.append(k)
+                parts.append(part)
+                size += len(part)
+        self._finish(owners, parts, out)
         return out
 
-    def _finish(self, todo: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        self._learn(set().union(*(w for _, w in todo)))
-        get = self.words.__getitem__
-        for k, words in todo:
-            out[k] += b"".join(map(get, words))
+    def _finish(self, owners: list[int], parts: list[str], out: list[bytes]) -> None:
+        if not parts:
+            return
+        lists = self._words(parts)
+        words = lists.flatten().dictionary_encode()
+        ids = self._word_ids(words.dictionary).take(words.indices)
+        ends = _ends(ids)[np.asarray(lists.offsets)].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for k, a, b in zip(owners, ends, ends[1:]):
+            out[k] += data[a:b]
+
+
+def _joined(strings: pa.Array) -> str:
+    """All strings, each with the mark that stands between words behind it."""
+    if not len(strings):
+        return ""
+    both = pc.binary_join_element_wise(strings, *(pa.scalar(x, strings.type) for x in (_BETWEEN, "")))
+    return str(both.buffers()[2], "utf-8")
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """The stretches of ``data`` between ``ends``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), data])
 
 
-def _slices(data: bytes, ends: list[int]):
-    """The stretches of ``data`` that stop at ``ends``."""
-    return map(data.__getitem__, map(slice, [0, *ends], ends))
+def _ends(binary: pa.Array) -> np.ndarray:
+    """Where the values of a whole large binary array begin, and where the last one ends."""
+    if not len(binary):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(binary.buffers()[1], np.int64)[:len(binary) + 1]
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -43,6 +43,37 @@ def test_long_text_is_cut_where_no_piece_is(monkeypatch):
     assert np.frombuffer(PieceEncoder(BYTE).encode([text])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_piece_is_merged_once(path, monkeypatch):
+    from lodestar.llm import tokens
+
+    monkeypatch.setattr(tokens, "_CHUNK", 200)
+    enc = PieceEncoder(path)
+    merged = []
+    merge = enc._merged
+    monkeypatch.setattr(enc, "_merged", lambda pieces: merged.extend(pieces.to_pylist()) or merge(pieces))
+    texts = [f"Word, word. (word) word{k % 3}\nword" for k in range(300)]
+    got = enc.encode(texts)
+    assert len(merged) == len(set(merged)) < 20  # one call took "word," and "word." as different words
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library_ids(path, t) for t in texts[:3]] * 100
+
+
+def test_pieces_of_letters_that_the_vocabulary_lacks(tmp_path):
+    import json
+
+    with open(BYTE) as f:
+        spec = json.load(f)
+    gone = "Q"
+    vocab = {t: i for t, i in spec["model"]["vocab"].items() if gone not in t}
+    spec["model"]["vocab"] = vocab
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if gone not in "".join(m)]
+    path = tmp_path / "lacking.json"
+    path.write_text(json.dumps(spec))
+    texts = ["Q", "aQb Qc Q", "no letter lacks", "Q a Q"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in PieceEncoder(str(path)).encode(texts)] == [
+        library_ids(str(path), t) for t in texts]
+
+
 def check_packed(rows, docs, capacity=2048):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -150,6 +181,16 @@ def test_many_small_shards_hold_the_same(spark, small, texts):
     check_shards(repair.read_shards(spark, path).collect(), texts)
 
 
+def test_all_ids_expand_every_rule_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 9, n), 0).astype("<u4") for n in (0, 1, 500, 3000)]
+    shard = repair.Shard(repair.write_shard(list(range(len(docs))), [d.tobytes() for d in docs]))
+    expand, asked = repair.expand, []
+    monkeypatch.setattr(repair, "expand", lambda symbols, *rest: asked.append(len(symbols)) or expand(symbols, *rest))
+    assert shard.all_ids().tolist() == np.concatenate(docs).tolist()
+    assert sum(asked) == len(shard.rules) < len(shard.symbols)
+
+
 def test_random_access():
     rng = np.random.default_rng(2)
     docs = [np.append(rng.integers(1, 9, n), 0).astype("<u4") for n in (0, 1, 500, 3000)] + [np.zeros(400, "<u4")]
