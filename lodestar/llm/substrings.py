@@ -226,13 +226,17 @@ def _heads(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def _numbered(strings: bytes) -> np.ndarray:
+    """A number for each word; equal words, and no others, have equal numbers."""
+    data = strings.replace(b"\n", b" ") + b" "
+    ends = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == ord(" ")) + 1)  # a word and the space behind it
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    return np.asarray(words.dictionary_encode().indices).astype(np.uint64)
+
+
 def _count_cell(docs: np.ndarray, strings: bytes, width: int, names: list[str]) -> pd.DataFrame:
     """Marks of every window of packed strings (one to a line) whose words also start earlier."""
-    words = strings.split()
-    number = dict.fromkeys(words)
-    number = dict(zip(number, range(len(number))))
-    ids = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
-    del words, number
+    ids = _numbered(strings)
     doc, start, count = docs[:-3], docs[-3], docs[-2]
     base = np.cumsum(count + width - 1) - (count + width - 1)  # of each super-k-mer's words in ids
     order = np.lexsort((start, *doc[::-1]))

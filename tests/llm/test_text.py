@@ -375,3 +375,20 @@ def test_packing_and_counting_keep_no_object_for_each_string():
     assert peak(lambda: substrings._pack(docs, 20, 40)) < 6
     packed = substrings._pack(docs, 20, 1)
     assert peak(lambda: substrings._count_bucket(packed, 20)) < 12.2
+
+
+def test_words_of_a_cell_are_numbered_without_an_object_for_each():
+    import tracemalloc
+
+    import numpy as np
+
+    lines = [b"a b a \xc3\xa9 ab", b"b\x00 b", b"\xff a"]
+    want = [w for line in lines for w in line.split()]
+    got = substrings._numbered(b"\n".join(lines)).tolist()
+    assert [(x == y) for x in got for y in got] == [(x == y) for x in want for y in want]
+    data = b" ".join(b"%d" % k for k in np.random.default_rng(5).integers(0, 10**6, 200_000))
+    tracemalloc.start()
+    substrings._numbered(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 7 * len(data)  # words as objects, held in a dictionary, took 30
