@@ -34,6 +34,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 1 << 20
 #: Characters of texts that are encoded together.
 _CHUNK = 6 << 20
+#: Pieces remembered for each one asked for, beyond which asking takes longer than merging.
+_FEW = 16
 #: Stands between words that are split together.
 _BETWEEN = "\x00"
 #: Marks a part of a text that has no space before it, and a space at which a text is not cut.
@@ -124,6 +126,8 @@ class PieceEncoder:
 
     def _ids_of(self, pieces: pa.Array) -> pa.Array:
         """Ids of distinct pieces, which are remembered before those met earlier."""
+        if 0 < len(pieces) * _FEW < len(self.pieces):
+            return self._merged(pieces)
         at = pc.index_in(pieces, value_set=self.pieces)
         new = np.asarray(at.is_null())
         known = at.drop_null()

@@ -58,6 +58,15 @@ def test_a_piece_is_merged_once(path, monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library_ids(path, t) for t in texts[:3]] * 100
 
 
+def test_few_pieces_do_not_search_all_remembered(monkeypatch):
+    enc = PieceEncoder(WORD)
+    enc.encode([" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(500))])
+    held = enc.pieces
+    assert len(held) == 500
+    assert np.frombuffer(enc.encode(["two words"])[0], "<u4").tolist() == library_ids(WORD, "two words")
+    assert enc.pieces is held
+
+
 def test_pieces_of_letters_that_the_vocabulary_lacks(tmp_path):
     import json
 
