@@ -242,6 +242,39 @@ def test_word_table_of_blocks_made_again(small, texts, monkeypatch):
     check_words(word_table.encode_and_decode(small, WORD).collect(), texts)
 
 
+def test_word_table_puts_words_back_without_an_object_for_each(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    table = pa.table({"id": np.arange(500), "piece": [f"p{k}é" for k in range(500)]})
+    asked, join = [], word_table.joined_pieces
+    monkeypatch.setattr(word_table, "joined_pieces", lambda ids, t: asked.append(ids.tolist()) or join(ids, t))
+
+    def digests(counts, words, ends):
+        ids = rng.integers(0, 500, int(counts.sum())).astype(np.uint32)
+        asked.clear()
+        tracemalloc.start()
+        got = word_table.text_digests(counts, ids, pa.array(words, pa.int32()), ends, table)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(asked[0]) == sorted(set(ids.tolist()))  # every distinct id is joined once
+        entries = np.split(ids, np.cumsum(counts)[:-1])
+        texts = [[i for k in words[a:b] for i in entries[k].tolist()] for a, b in zip(ends, ends[1:])]
+        assert got.equals(pd.DataFrame({"n_tokens": list(map(len, texts)), "ids_sha256": [sha(" ".join(map(str, t))) for t in texts],
+                                        "decoded_sha256": [sha(" ".join(f"p{i}é" for i in t)) for t in texts]}))
+        return most
+
+    digests(np.array([2, 0, 1, 3], np.uint32), np.array([1, 0, 3, 1, 2, 1, 1, 1]), np.array([0, 0, 3, 6, 8, 8]))
+    digests(np.array([0], np.uint32), np.array([0, 0], int), np.array([0, 0, 2]))
+    digests(np.array([0], np.uint32), np.array([], int), np.array([0, 0]))
+    counts = rng.integers(0, 6, 50_000).astype(np.uint32)
+    n = 100_000
+    assert digests(counts, rng.integers(0, len(counts), n), np.arange(0, n + 1, 1000)) < 50 * n  # words as objects, held in dictionaries, took 228
+
+
 def test_word_table_encode_then_decode(spark, odd):
     lib = Tokenizer.from_file(WORD)
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
