@@ -132,3 +132,20 @@ def test_bleu_tasks_are_bounded_by_words(spark, monkeypatch):
     got = EV.bleu4(pairs, ["id"])
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and sorted(tuple(r) for r in got.collect()) == want
     assert EV.bleu4(pairs.limit(0), ["id"]).collect() == []
+
+
+def test_grounding_shuffles_packed_counts_and_no_text(spark):
+    from lodestar.operators import embedding as EM
+    from lodestar.operators import evaluation as EV
+    texts = spark.createDataFrame([("a", "the cat " * 300), ("b", "sat the"), ("c", "the " * 70_000), ("n", None), ("b", "sat the")],
+                                  "chunk_id string, content string")
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "c", 2), (3, "n", 1), (4, "a", 1)],
+                                 "query_id long, chunk_id string, rank int")
+    answers = spark.createDataFrame([(1, "the cat sat"), (2, "the dog sat"), (3, "x"), (4, "cat"), (5, "y")], "query_id long, generated string")
+    rows = lambda df: sorted((r["query_id"], r["kg_score"]) for r in df.collect())
+    embed = lambda d, c, o: EM.embed_hashed(d, c, o, model_col=None)
+    want = rows(EV.grounding_score(hits, answers, embed=embed, contents=texts))  # the joined text is embedded
+    for most in (False, True):
+        assert rows(EV.grounding_score(hits, answers, contents=texts, most_retrieved=most)) == want
+    sizes = [r[0] for r in texts.select(F.length(EM.packed_counts("content"))).orderBy("chunk_id", "content").collect()]
+    assert sizes == [2 * EM.HASH_DIM, EM.HASH_DIM, EM.HASH_DIM, 4 * EM.HASH_DIM, EM.HASH_DIM]
